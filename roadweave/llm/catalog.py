@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import packing, token_files
+from roadweave.llm import packing, token_files, warc, winnowing
 from roadweave.llm.common import table
 
 
@@ -22,9 +22,32 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.warc_round_trip(table(spark, sf_dir, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(list_sum(list_transform(range(0, 5), lambda j: ((CAST(('0x' || substr(h, CAST((i * 5 + j) // 4 + 1 AS INTEGER), 1)) AS INTEGER)
+      >> CAST(3 - (i * 5 + j) % 4 AS INTEGER)) & 1) << CAST(4 - j AS INTEGER))) AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM m
+"""
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_id_output(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op9_token_id_output)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_warc, op7_document_fingerprints, op9_token_id_output)}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
