@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import packing, token_files, warc, winnowing
+from roadweave.llm import packing, similarity_join, token_files, warc, winnowing
 from roadweave.llm.common import table
 
 
@@ -41,6 +41,25 @@ FROM m
 """
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.near_duplicates(table(spark, sf_dir, "documents"), n_words=4, percent=85)
+
+
+OP6_SQL = """
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+e AS (SELECT r, len(sh) AS n, unnest(sh) AS g FROM s),
+i AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.r < b.r
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM i WHERE 100 * c >= 85 * (n + m - c) UNION SELECT y, x FROM i WHERE 100 * c >= 85 * (n + m - c)),
+t AS (SELECT r, r AS z FROM s UNION SELECT t.r, l.y FROM t JOIN l ON t.z = l.x)
+SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM t JOIN s ON s.r = t.r JOIN s o ON o.r = t.z GROUP BY t.r
+"""
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -49,5 +68,5 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_id_output(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_warc, op7_document_fingerprints, op9_token_id_output)}
-ORACLES: dict[str, str] = {"op5_warc": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_warc, op6_ngram_jaccard_join, op7_document_fingerprints, op9_token_id_output)}
+ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}
