@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import packing, similarity_join, token_files, warc, winnowing
+from roadweave.llm import mixing, neighbours, packing, quality, similarity_join, token_files, toxicity, urls, warc, winnowing
 from roadweave.llm.common import table
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.7)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -22,6 +27,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.5)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.warc_round_trip(table(spark, sf_dir, "pages"), least=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,9 +81,32 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_id_output(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_warc, op6_ngram_jaccard_join, op7_document_fingerprints, op9_token_id_output)}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, repeat=2.0).select("doc_id", "source", "weight", F.col("mix_tokens").alias("tokens"), "epoch", "block", "block_key", "row_key")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_best_fit_packing,
+        op3_url_filters,
+        op4_quality_classifier,
+        op5_warc,
+        op6_ngram_jaccard_join,
+        op7_document_fingerprints,
+        op8_nearest_neighbours,
+        op9_token_id_output,
+        op10_source_mixing,
+    )
+}
 ORACLES: dict[str, str] = {"op5_warc": OP5_SQL, "op6_ngram_jaccard_join": OP6_SQL}
