@@ -9,7 +9,7 @@ segment must agree. ``allocate`` chooses how many of either by the number of key
 apart; one-deletion segments win for small sets. In bands of equality segments alone a set emits only its first H + 1 segments that
 aren't empty; a set without as many also emits its empty ones (if two sets agree in empty segments alone, neither has as many).
 
-Equal sets are one class from the start. A first pass links each class with the least class of its key groups; what the
+Equal sets are one class from the start. The first ``turns`` link each class with one class of each of its key groups; what the
 links leave in different components is then compared within the groups, in blocks, after an exact bound from parity
 bitmaps. Every link is verified on the whole sets. So components come out exactly, without making all pairs of a group.
 
@@ -25,7 +25,6 @@ import gc
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,9 +112,9 @@ def set_hash(found: np.ndarray) -> tuple[int, int]:
     return int(mix(found + PLACE[50]).sum().astype(np.int64)), int(mix(found ^ PLACE[51]).sum().astype(np.int64))
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    """Parities of the hashes by place; bits number a power of two, twice the size at least."""
-    bits = 1 << max(6, (2 * len(found) - 1).bit_length())
+def parity(found: np.ndarray) -> bytes:
+    """Parities of the hashes by place. Bits number a power of two, twice the size at least, from 64 to 8192."""
+    bits = 1 << min(13, max(6, (2 * len(found) - 1).bit_length()))
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -125,15 +124,16 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def measured(docs: DataFrame, n_words: int) -> DataFrame:
-    """(doc_id, n, h1, h2) of every row, written."""
+    """(doc_id, n, h1, h2, parity) of every row, written."""
 
     def run(batches):
         words = Words()
         for batch in batches:
-            out = [(len(s), *set_hash(s)) for s in shingle_sets(batch.column(1), n_words, words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))] if out else [pa.array([], pa.int64())] * 4, ["doc_id", *("n", "h1", "h2")])
+            out = [(len(x), *set_hash(x), parity(x)) for x in shingle_sets(batch.column(1), n_words, words)]
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True))], ["doc_id", "n", "h1", "h2", "parity"])
 
-    return stage(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long"), "measured")
+    return stage(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, parity binary"), "measured")
 
 
 def key_groups(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -220,25 +220,29 @@ def key_groups(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     return stage(stage(keys.mapInArrow(group, "gid long, ref long"), "groups").distinct(), "groups")
 
 
-def involved_sets(docs: DataFrame, classes: DataFrame, refs: DataFrame, n_words: int) -> DataFrame:
-    """(cid, ref, n, set, bitmap) of the classes that share a key with another one, from the text of one document each."""
-    wanted = classes.join(refs, "ref", "left_semi").select(F.col("rep").alias("doc_id"), *CLASS, "cid", "ref")
-    rows = docs.join(wanted.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_words: int, few: int = 500_000) -> DataFrame:
+    """(cid, items) of the classes in pairs, from the text of one document each. Up to ``few`` ids, which are counted, are broadcast; more are joined."""
+    cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = stage(classes.join(cids, "cid").select(F.col("rep").alias("doc_id"), *CLASS, "cid"), "wanted")
+    ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.join(F.broadcast(ids) if wanted.count() <= few else ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
 
     def run(batches):
         words = Words()
         for batch in batches:
-            out = [(len(s), *set_hash(s), s.tobytes(), bitmap(s)) for s in shingle_sets(batch.column(1), n_words, words)]
+            out = [(len(x), *set_hash(x), x.tobytes()) for x in shingle_sets(batch.column(1), n_words, words)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),) * 2, strict=True)], ["n", "h1", "h2", "items", "parity"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True)], ["n", "h1", "h2", "items"])
 
-    sets = rows.mapInArrow(run, "n long, h1 long, h2 long, items binary, parity binary")
-    sets = sets.join(wanted.select(*CLASS, "cid", "ref"), CLASS).dropDuplicates(["cid"])
-    return stage(sets.select("cid", "ref", "n", "items", "parity"), "sets")
+    sets = rows.mapInArrow(run, "n long, h1 long, h2 long, items binary")
+    sets = sets.join(F.broadcast(wanted.select(*CLASS, "cid")) if wanted.count() <= few else wanted.select(*CLASS, "cid"), CLASS)
+    return stage(sets.select("cid", "items").dropDuplicates(["cid"]), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of classes those whose whole sets are similar enough: (u, v), written."""
+    pairs = stage(pairs, "pairs")
+    sets = sets_of(docs, classes, pairs, n_words)
     left = sets.select(F.col("cid").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
 
@@ -258,39 +262,108 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(rows.mapInArrow(run, "u long, v long"), "links")
 
 
-def unsettled(groups: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, block: int = 1000) -> DataFrame:
-    """Pairs (a, b) of a group that are in different components and that sizes and parities can't rule out."""
-    members = groups.join(sets.select("ref", "cid", "n"), "ref").join(roots.withColumnRenamed("u", "cid"), "cid", "left")
-    members = stage(members.select("gid", "cid", "n", F.coalesce("root", "cid").alias("root")), "members")
-    open_groups = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo != hi").select("gid", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
-    rows = members.join(open_groups, "gid").join(sets.select("cid", "parity"), "cid")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "root", "parity")
-
-    def folded(parity: np.ndarray, bits: int) -> np.ndarray:
-        whole = np.unpackbits(parity)
-        return np.bitwise_xor.reduce(whole.reshape(-1, bits), axis=0)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        n, root, cid, own = (pdf[c].to_numpy() for c in ("n", "root", "cid", "own"))
-        raw = [np.frombuffer(x, np.uint8) for x in pdf["parity"]]
-        out: list[tuple[int, int]] = []
-        for size in np.unique([len(x) for x in raw]):
-            rows = np.flatnonzero([len(x) in (size, 2 * size) for x in raw])
-            bits = np.stack([np.packbits(folded(raw[r], 8 * size)) for r in rows])
-            for x, r in enumerate(rows.tolist()):
-                far = np.flatnonzero((n[rows] >= n[r]) & (100 * n[r] >= percent * n[rows]) & (root[rows] != root[r]) & ((own[rows] != own[r]) if key[1] != key[2] else True))
-                far = far[(n[rows][far] > n[r]) | (cid[rows][far] > cid[r])]
-                if len(raw[r]) != size:
-                    continue
-                apart = np.bitwise_count(bits[far] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                near = far[apart * (100 + percent) <= (100 - percent) * (n[rows][far] + n[r])]
-                out += [(int(cid[r]), int(c)) for c in cid[rows][near]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+def folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Parities of equal length, folded to ``size`` bytes: a smaller table of places holds the parities of those that meet in it."""
+    whole = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    while whole.shape[1] > size:
+        half = whole.shape[1] // 2
+        whole = whole[:, :half] ^ whole[:, half:]
+    return whole
+
 
-    return rows.groupBy("gid", "i", "j").applyInPandas(run, "a long, b long").distinct()
+def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which of the pairs of places (a, b) their parities leave possible: places that differ are at most the elements that do."""
+    length = np.array([len(x) for x in bits])
+    la, lb = length[a], length[b]
+    out = np.zeros(len(a), bool)
+    for x, y in {*zip(la.tolist(), lb.tolist(), strict=True)}:
+        here = np.flatnonzero((la == x) & (lb == y))
+        for at in range(0, len(here), max(1, 8_000_000 // max(x, y))):
+            part = here[at : at + max(1, 8_000_000 // max(x, y))]
+            size = min(x, y)
+            apart = np.bitwise_count(folded([bits[i] for i in a[part]], size) ^ folded([bits[i] for i in b[part]], size)).sum(axis=1, dtype=np.int64)
+            out[part] = apart * (100 + percent) <= (100 - percent) * (n[a[part]] + n[b[part]])
+    return out
+
+
+def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Pairs (a, b) of rows (gid, i, j, own, cid, n, root, parity) of a group: of all in different components, or of each with the first.
+
+    A group and its blocks are rows that stand together, 2 * ``block`` at most; sizes and parities are held against the bound at once,
+    so pairs that can't be links aren't made as rows.
+    """
+
+    def emit(cols, seen):
+        gid, i, j, own, cid, n, root, bits = cols
+        start = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        size = np.diff(np.concatenate((start, [len(gid)])))
+        left, right, held = [], [], 0
+
+        def settle():
+            a, b = np.concatenate(left), np.concatenate(right)
+            ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((i[a] == j[a]) | (own[a] != own[b]))
+            a, b = a[ok], b[ok]
+            _, first = np.unique(np.stack((np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b]))), axis=1, return_index=True)
+            a, b = a[first], b[first]
+            ok = possible(a, b, n, bits, percent)
+            out = [p for p in zip(np.minimum(cid[a], cid[b])[ok].tolist(), np.maximum(cid[a], cid[b])[ok].tolist(), strict=True) if p not in seen]
+            if len(seen) < 500_000:
+                seen.update(out)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], ["a", "b"])
+
+        for s, k in zip(start.tolist(), size.tolist(), strict=True):
+            for x in range(s, s + 1 if star else s + k - 1):
+                right.append(np.arange(x + 1, s + k))
+                left.append(np.full(s + k - x - 1, x))
+                held += s + k - x - 1
+                if held > 500_000:
+                    yield settle()
+                    left, right, held = [], [], 0
+        if held:
+            yield settle()
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        held = None
+        for batch in batches:
+            now = [*(c.to_numpy() for c in batch.columns[:-1]), batch.column(7).to_pylist()]
+            if not len(now[0]):
+                continue
+            held = now if held is None else [np.concatenate((x, y)) for x, y in zip(held[:-1], now[:-1], strict=True)] + [held[-1] + now[-1]]
+            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+            end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if end:
+                yield from emit([c[:end] for c in held], seen)
+                held = [c[end:] for c in held]
+        if held is not None:
+            yield from emit(held, seen)
+
+    rows = rows.select("gid", "i", "j", "own", "cid", "n", "root", "parity").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "own", "cid")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def open_members(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Members with their root, of the groups that have two roots or more, and how many blocks such a group makes."""
+    members = members.join(roots.withColumnRenamed("u", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    several = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo != hi")
+    return members.join(several.select("gid", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "gid")
+
+
+def stars(members: DataFrame, roots: DataFrame, percent: int, turn: int, block: int = 1000) -> DataFrame:
+    """Each class of a group with one that a hash of the turn chooses; the members of a large group are dealt out, that one goes to all."""
+    rows = open_members(members, roots, block)
+    heads = rows.groupBy("gid", "blocks").agg(F.min_by(F.struct("cid", "n", "root", "parity"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("h"))
+    rest = rows.join(heads.select("gid", F.col("h.cid").alias("head")), "gid").where("cid != head")
+    rest = rest.select("gid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("own"), "cid", "n", "root", "parity")
+    heads = heads.select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("own"), "h.*")
+    return compared(rest.unionByName(heads).withColumn("j", F.col("i")), percent, star=True)
+
+
+def unsettled(members: DataFrame, roots: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+    """All pairs of a group that are in different components and that sizes and parities leave possible, in pairs of blocks."""
+    rows = open_members(members, roots, block).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return compared(rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}), percent, star=False)
 
 
 def release(spark: SparkSession) -> None:
@@ -299,23 +372,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     spark = docs.sparkSession
     rows = rows_of(docs, id_col, text_col)
     seen = measured(rows, n_words)
-    classes = seen.where("n > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"))
+    classes = seen.where("n > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.max("parity").alias("parity"))
     classes = stage(classes.withColumns({"cid": F.monotonically_increasing_id(), "ref": F.col("h1").bitwiseAND(F.lit((1 << 62) - 1))}), "classes")
     groups = key_groups(rows, n_words, percent)
     release(spark)
-    sets = involved_sets(rows, classes, groups.select("ref").distinct(), n_words)
-    release(spark)
-    members = groups.join(sets.select("ref", "cid"), "ref").select("gid", "cid")
-    stars = members.join(members.groupBy("gid").agg(F.min("cid").alias("a")), "gid").where("a != cid")
-    stars = stars.groupBy(F.col("cid").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(stars, sets, percent)
-    roots = stage(components(links), "roots")
-    more = verified(unsettled(groups, sets, roots, percent), sets, percent)
+    members = stage(groups.join(classes.select("ref", "cid", "n", "parity"), "ref").drop("ref"), "members")
+    links = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "u long, root long")
+    for turn in range(turns):
+        links = links.unionByName(verified(stars(members, roots, percent, turn), rows, classes, n_words, percent))
+        roots = stage(components(links), "roots")
+        release(spark)
+    more = verified(unsettled(members, roots, percent), rows, classes, n_words, percent)
     release(spark)
     roots = components(links.unionByName(more))
     named = classes.join(roots.withColumnRenamed("u", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
