@@ -77,7 +77,7 @@ def plan(docs: DataFrame, repeat: float | None, entropy: float | None, budget: i
     sources = stage(rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens")), "sources")
     alpha = exponent(sources, repeat, entropy)
     share = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(alpha))).otherwise(0.0)
-    total = sources.agg(F.sum(share).alias("s"), F.max(F.col("tokens") / share).alias("whole")).first()
+    total = sources.agg(F.sum(share).alias("s"), F.max(F.try_divide(F.col("tokens"), share)).alias("whole")).first()
     size = float(budget) if budget is not None else (total["whole"] or 0.0) * (total["s"] or 0.0)
     weight = F.when(F.col("tokens") > 0, share / F.lit(total["s"] or 1.0)).otherwise(0.0)
     blocks_of = F.least(F.lit(MANY), F.ceil(F.col("documents") / FEW)).cast("int")

@@ -53,7 +53,7 @@ def features(text: str) -> np.ndarray:
     return np.unique(np.concatenate([f + np.uint32(0) for f in found]))
 
 
-def fit(sample: pd.DataFrame, keep: int = 8192, smoothing: float = 1.0, ridge: float = 2e-4, rounds: int = 120) -> dict:
+def fit(sample: pd.DataFrame, keep: int = 2048, smoothing: float = 1.0, ridge: float = 1e-3, rounds: int = 120) -> dict:
     """{"bias", "buckets", "weights"}: what a text's logit adds up from; NB ratios and weights are already multiplied."""
     y = sample["y"].to_numpy(float)
     ones, n = float(y.sum()), len(y)
