@@ -82,7 +82,7 @@ def contexts(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def counts(decided: DataFrame) -> DataFrame:
-    """(n_order, context, gram, accepted, rejected) over all rows (url, verdict); at most 2**BITS grams an order."""
+    """(n_order, context, gram, accepted, rejected) over all rows (url, verdict), written."""
 
     def run(batches):
         for batch in batches:
@@ -96,21 +96,29 @@ def counts(decided: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(keys), order), keys >> 32, keys & 0xFFFFFFFF, yes, both - yes)], ["n_order", "context", "gram", "accepted", "rejected"])
 
     found = decided.select("url", "verdict").mapInArrow(run, "n_order long, context long, gram long, accepted long, rejected long")
-    return found.groupBy("n_order", "context", "gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    return stage(found.groupBy("n_order", "context", "gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-counts")
+
+
+def model_rows(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(n_order, gram, accepted, rejected) and (n_order, context, accepted, rejected, kinds of either); at most 2**BITS rows an order each."""
+    sums = [F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")]
+    grams = table.groupBy("n_order", "gram").agg(*sums)
+    back = table.groupBy("n_order", "context").agg(*sums, F.count_if(F.col("accepted") > 0).alias("yes"), F.count_if(F.col("rejected") > 0).alias("no"))
+    return grams.toPandas().to_numpy(np.int64).reshape(-1, 4), back.toPandas().to_numpy(np.int64).reshape(-1, 6)
 
 
 class Ratio:
     """Both models, in arrays of fixed size."""
 
-    def __init__(self, rows: np.ndarray):
-        """rows: n_order, context, gram, accepted, rejected."""
+    def __init__(self, grams: np.ndarray, back: np.ndarray):
+        """The rows of ``model_rows``."""
         size = (ORDER + 1, 1 << BITS)
         self.gram = np.zeros((2, *size), np.float32)
         self.context, self.kinds = np.zeros_like(self.gram), np.zeros_like(self.gram)
         for k in (0, 1):
-            np.add.at(self.gram[k], (rows[:, 0], rows[:, 2]), rows[:, 3 + k])
-            np.add.at(self.context[k], (rows[:, 0], rows[:, 1]), rows[:, 3 + k])
-            np.add.at(self.kinds[k], (rows[:, 0], rows[:, 1]), rows[:, 3 + k] > 0)
+            self.gram[k][grams[:, 0], grams[:, 1]] = grams[:, 2 + k]
+            self.context[k][back[:, 0], back[:, 1]] = back[:, 2 + k]
+            self.kinds[k][back[:, 0], back[:, 1]] = back[:, 4 + k]
 
     def difference(self, texts: list[str | None]) -> np.ndarray:
         """Log-likelihood as accepted less that as rejected, a character."""
@@ -159,8 +167,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = stage(rows.withColumns({"rule": rule, "verdict": verdict}), "urls")
     decided = rows.where(F.col("verdict").isNotNull())
     kept = F.pmod(F.xxhash64("url"), F.lit(folds)) == 0
-    table = counts(decided.where(~kept)).toPandas().to_numpy(np.int64).reshape(-1, 5)
-    ratio = Ratio(table)
+    ratio = Ratio(*model_rows(counts(decided.where(~kept))))
     cut = threshold(decided.where(kept), ratio)
     decision = F.coalesce("verdict", F.when(F.col("llr") >= cut, "allow").otherwise("block"))
     return scored(rows, ratio).select("page_id", "host", "path", "rule", decision.alias("verdict"), "llr")
