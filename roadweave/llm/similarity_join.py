@@ -286,15 +286,21 @@ def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], per
     return out
 
 
+def owned(x: frozenset | None, y: frozenset | None, gid: int) -> bool:
+    """Whether a pair of classes with these first groups is made in this group."""
+    return x is None or y is None or min(x & y, default=gid) == gid
+
+
 def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs (a, b) of rows (gid, i, j, own, cid, n, root, parity) of a group: of all in different components, or of each with the first.
+    """Pairs (a, b) of rows (gid, i, j, own, cid, n, root, first, parity) of a group: of all in different components, or of each with the first.
 
     A group and its blocks are rows that stand together, 2 * ``block`` at most; sizes and parities are held against the bound at once,
-    so pairs that can't be links aren't made as rows.
+    so pairs that can't be links aren't made as rows. ``first`` holds the smallest groups of a class, or null. The least that the
+    lists of two classes share is the least group that they share at all; a pair is made there alone, or wherever the lists share none.
     """
 
     def emit(cols, seen):
-        gid, i, j, own, cid, n, root, bits = cols
+        gid, i, j, own, cid, n, root, bits, first_of = cols
         start = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         size = np.diff(np.concatenate((start, [len(gid)])))
         left, right, held = [], [], 0
@@ -306,7 +312,10 @@ def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
             _, first = np.unique(np.stack((np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b]))), axis=1, return_index=True)
             a, b = a[first], b[first]
             ok = possible(a, b, n, bits, percent)
-            out = [p for p in zip(np.minimum(cid[a], cid[b])[ok].tolist(), np.maximum(cid[a], cid[b])[ok].tolist(), strict=True) if p not in seen]
+            a, b = a[ok], b[ok]
+            here = np.array([owned(first_of[x], first_of[y], g) for x, y, g in zip(a.tolist(), b.tolist(), gid[a].tolist(), strict=True)], bool)
+            a, b = cid[a[here]], cid[b[here]]
+            out = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True) if p not in seen]
             if len(seen) < 500_000:
                 seen.update(out)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], ["a", "b"])
@@ -326,10 +335,10 @@ def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         held = None
         for batch in batches:
-            now = [*(c.to_numpy() for c in batch.columns[:-1]), batch.column(7).to_pylist()]
+            now = [*(c.to_numpy() for c in batch.columns[:7]), batch.column(7).to_pylist(), [x and frozenset(x) for x in batch.column(8).to_pylist()]]
             if not len(now[0]):
                 continue
-            held = now if held is None else [np.concatenate((x, y)) for x, y in zip(held[:-1], now[:-1], strict=True)] + [held[-1] + now[-1]]
+            held = now if held is None else [*(np.concatenate((x, y)) for x, y in zip(held[:7], now[:7], strict=True)), held[7] + now[7], held[8] + now[8]]
             same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
             end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if end:
@@ -338,7 +347,7 @@ def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
         if held is not None:
             yield from emit(held, seen)
 
-    rows = rows.select("gid", "i", "j", "own", "cid", "n", "root", "parity").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "own", "cid")
+    rows = rows.select("gid", "i", "j", "own", "cid", "n", "root", "parity", "first").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "own", "cid")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -350,18 +359,24 @@ def open_members(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
 
 
 def stars(members: DataFrame, roots: DataFrame, percent: int, turn: int, block: int = 1000) -> DataFrame:
-    """Each class of a group with one that a hash of the turn chooses; the members of a large group are dealt out, that one goes to all."""
+    """Each class of a group with one that a hash of the turn chooses; the members of a large group are dealt out, that one goes to all.
+
+    A class that has the same one in several groups meets it in the least of them.
+    """
     rows = open_members(members, roots, block)
     heads = rows.groupBy("gid", "blocks").agg(F.min_by(F.struct("cid", "n", "root", "parity"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("h"))
     rest = rows.join(heads.select("gid", F.col("h.cid").alias("head")), "gid").where("cid != head")
+    rest = rest.groupBy("cid", "head").agg(F.min("gid").alias("gid"), F.min_by(F.struct("blocks", "n", "root", "parity"), "gid").alias("x")).select("cid", "gid", "x.*")
     rest = rest.select("gid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("own"), "cid", "n", "root", "parity")
     heads = heads.select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("own"), "h.*")
-    return compared(rest.unionByName(heads).withColumn("j", F.col("i")), percent, star=True)
+    return compared(rest.unionByName(heads).withColumns({"j": F.col("i"), "first": F.lit(None).cast("array<long>")}), percent, star=True)
 
 
-def unsettled(members: DataFrame, roots: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+def unsettled(members: DataFrame, roots: DataFrame, percent: int, block: int = 1000, listed: int = 32) -> DataFrame:
     """All pairs of a group that are in different components and that sizes and parities leave possible, in pairs of blocks."""
-    rows = open_members(members, roots, block).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = stage(open_members(members, roots, block), "open")
+    lists = rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, listed).alias("first"))
+    rows = rows.join(lists, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return compared(rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}), percent, star=False)
 

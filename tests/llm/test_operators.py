@@ -126,6 +126,15 @@ def test_similar_sets_share_a_key():
                 assert {*a[~da]} & {*b} or {*a} & {*b[~db]}
 
 
+def test_a_pair_is_made_in_one_shared_group():
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 300):
+        x, y = (set(rng.integers(-400, 400, size).tolist()) for _ in range(2))
+        first = [frozenset(sorted(z)[:32]) for z in (x, y)]
+        made = [g for g in x & y if similarity_join.owned(*first, g)]
+        assert made == [min(x & y)] if first[0] & first[1] else sorted(made) == sorted(x & y)
+
+
 def test_shingles_over_buffers():
     import pyarrow as pa
 
