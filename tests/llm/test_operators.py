@@ -243,3 +243,27 @@ def test_empty_tables(spark, docs):
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_components_are_those_of_a_union_find(spark):
+    from roadweave.llm.components import components
+
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(900)
+    links = [*zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True), *((2000 + 7, 2000 + k) for k in range(40)), *rng.integers(3000, 3600, (250, 2)).tolist(), (5, 5), (9000, 9000)]
+    least = {}
+
+    def top(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((top(a), top(b)))
+            least[b] = a
+    want = {x: top(x) for x in list(least)}
+    for chunk in (400, 200_000):
+        found = components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "u long, v long"), chunk).collect()
+        assert len(found) == len(want) and dict(map(tuple, found)) == want
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
