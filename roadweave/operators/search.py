@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,54 @@ def relax(seeds: DataFrame, edges: DataFrame, rounds: int, every: int = 2) -> Da
     return labels
 
 
+def converge(seeds: DataFrame, edges: DataFrame, tile: int = 2500, block: int = 64) -> DataFrame:
+    """seeds (src, node), edges (u, v, w >= 0) -> (src, node, cost, dist): least cost without a bound on edges, ties to fewer edges.
+
+    Nodes are cut into tiles of ``tile`` neighbouring ids and origins into blocks of about ``block``. In a round each tile
+    that got better labels is settled by Dijkstra's algorithm and sends labels over its border; the last round sends
+    none. A task holds one tile's edges and one block's labels there, so a round crosses a tile, not an edge.
+    """
+    at = lambda node: F.floor(F.col(node) / tile).cast("long")
+    blocks = max(1, math.ceil(seeds.select("src").distinct().count() / block))
+    labels = seeds.select(at("node").alias("tile"), F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("long").alias("block"), "src", "node", F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("hot"))
+    schema = labels.schema
+    steps = cut(edges.select(at("u").alias("tile"), "u", "v", F.col("w").cast("long").alias("w")), "edges")
+    steps = steps.crossJoin(seeds.sparkSession.range(blocks).select(F.col("id").alias("block")))
+
+    def settle(key, held: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
+        if not held["hot"].any():
+            return held
+        onward: dict[int, list[tuple[int, int]]] = {}
+        for u, v, w in zip(out["u"].tolist(), out["v"].tolist(), out["w"].tolist(), strict=True):
+            onward.setdefault(u, []).append((v, w))
+        rows = []
+        for src, own in held.groupby("src"):
+            columns = [own[c].tolist() for c in ("node", "cost", "dist", "hot")]
+            best = {node: (cost, dist) for node, cost, dist, hot in zip(*columns, strict=True) if not hot}
+            heap = [(cost, dist, node) for node, cost, dist, hot in zip(*columns, strict=True) if hot]
+            heapq.heapify(heap)
+            sent: dict[int, tuple[int, int]] = {}
+            while heap:
+                cost, dist, node = heapq.heappop(heap)
+                if node in best and best[node] <= (cost, dist):
+                    continue
+                best[node] = (cost, dist)
+                for v, w in onward.get(node, ()):
+                    reached = (cost + w, dist + 1)
+                    if v // tile != key[0]:
+                        sent[v] = min(reached, sent.get(v, reached))
+                    elif v not in best or reached < best[v]:
+                        heapq.heappush(heap, (*reached, v))
+            rows += [(key[0], key[1], src, node, cost, dist, False) for node, (cost, dist) in best.items()]
+            rows += [(v // tile, key[1], src, v, cost, dist, True) for v, (cost, dist) in sent.items()]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    while True:
+        labels = cut(labels.groupBy("tile", "block").cogroup(steps.groupBy("tile", "block")).applyInPandas(settle, schema), "labels")
+        if labels.where("hot").isEmpty():
+            return labels.select("src", "node", "cost", "dist")
+
+
 def relax_sql(rounds: int, seeds: str, edges: str) -> str:
     """The same rounds as a chain of common table expressions."""
     out = [f"l0 AS (SELECT src, node, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS dist FROM ({seeds}) s)"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.geo import bearing, fixed, haversine, planar, tile_id, turn_degree, turn_type
-from roadweave.operators.search import relax, relax_sql
+from roadweave.operators.search import converge, relax, relax_sql
 from roadweave.plans import derive
 from roadweave.plans.derive import DEPARTURES, EDGES, HOPS, NODES, TRACES, idiv
 
@@ -218,6 +218,71 @@ PROGRAMS = {
     "centroid_convergence": (centroid_convergence, f"{_LABELS} SELECT node, count(DISTINCT src) AS origins, CAST(sum(cost) AS BIGINT) AS total FROM l{ROUNDS} GROUP BY node"),
 }
 
+# The searches without a hop bound: from the lattice node at the corner of every nation's zone to every node.
+DEPOTS = f"SELECT DISTINCT n.gid AS src, n.gid AS node FROM nation z JOIN nodes n ON n.gid = {idiv('z.n_nationkey', 5)} * 400 + (z.n_nationkey % 5) * 10"
+
+
+def whole_labels(spark: SparkSession, sf_dir: str, reverse: bool = False) -> DataFrame:
+    edges = derive.run(spark, sf_dir, f"WITH {EDGES} {LATTICE}")
+    seeds = derive.run(spark, sf_dir, f"WITH {NODES} {DEPOTS}")
+    return converge(seeds, edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w") if reverse else edges)
+
+
+def sssp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1, GRF2, GRF16, EXT3
+    return whole_labels(spark, sf_dir).select("src", "node", "cost", F.col("dist").alias("hops"))
+
+
+def sssp_reverse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1 reverse, GRF21
+    return whole_labels(spark, sf_dir, reverse=True).select("src", "node", "cost", F.col("dist").alias("hops"))
+
+
+def matrix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF7, GRF8, GRF10, SNK2; null where a target can't be reached
+    cells = derive.run(spark, sf_dir, f"WITH {NODES} SELECT s.src, n.gid AS dst FROM ({DEPOTS}) s CROSS JOIN nodes n")
+    found = whole_labels(spark, sf_dir).select("src", F.col("node").alias("dst"), F.col("cost").alias("time_ms"), (F.col("dist") * 100).alias("distance_m"))
+    return cells.join(found, ["src", "dst"], "left")
+
+
+def matrix_nearest_n_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # SRT5; the origin itself isn't a target
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("time_ms", "dst"))
+    return matrix_whole(spark, sf_dir).where("time_ms IS NOT NULL AND src <> dst").withColumn("rank", rank.cast("long")).where("rank <= 2").select("src", "dst", "time_ms", "rank")
+
+
+def bfs_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # AGG7, GRF17
+    return whole_labels(spark, sf_dir).groupBy("src").agg(F.count("*").alias("reach"))
+
+
+def bidirectional_meet_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF3, JON15
+    forward, back = whole_labels(spark, sf_dir), whole_labels(spark, sf_dir, reverse=True)
+    both = forward.select("src", "node", "cost").join(back.select(F.col("src").alias("dst"), "node", F.col("cost").alias("rest")), "node").where("src <> dst")
+    return both.groupBy("src", "dst").agg(F.min(F.col("cost") + F.col("rest")).alias("cost"))
+
+
+def centroid_convergence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF14, SET6
+    return whole_labels(spark, sf_dir).groupBy("node").agg(F.count_distinct("src").alias("origins"), F.sum("cost").alias("total"))
+
+
+def _until_stable(name: str, edges: str) -> str:
+    """Labels that only improvements replace, for DuckDB; the recursion ends when a round improves none."""
+    return f"""{name}(src, node, cost, dist) USING KEY (src, node) AS (SELECT src, node, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ({DEPOTS}) s
+  UNION SELECT x.src, x.node, x.p.c, x.p.d FROM (SELECT l.src, e.v AS node, min({{'c': l.cost + e.w, 'd': l.dist + 1}}) AS p FROM {name} l JOIN ({edges}) e ON e.u = l.node GROUP BY l.src, e.v) x
+  LEFT JOIN recurring.{name} o ON o.src = x.src AND o.node = x.node WHERE o.cost IS NULL OR x.p.c < o.cost OR (x.p.c = o.cost AND x.p.d < o.dist))"""
+
+
+_WHOLE = f"WITH RECURSIVE {EDGES}, {_until_stable('l', LATTICE)}"
+_WHOLE_BACK = _until_stable("b", "SELECT v AS u, u AS v, cost_ms AS w FROM edges")
+_CELLS = f"SELECT s.src, n.gid AS dst, l.cost AS time_ms, l.dist * 100 AS distance_m FROM ({DEPOTS}) s CROSS JOIN nodes n LEFT JOIN l ON l.src = s.src AND l.node = n.gid"
+PROGRAMS |= {
+    "sssp_whole": (sssp_whole, f"{_WHOLE} SELECT src, node, cost, dist AS hops FROM l"),
+    "sssp_reverse_whole": (sssp_reverse_whole, f"WITH RECURSIVE {EDGES}, {_WHOLE_BACK} SELECT src, node, cost, dist AS hops FROM b"),
+    "matrix_whole": (matrix_whole, f"{_WHOLE} {_CELLS}"),
+    "matrix_nearest_n_whole": (matrix_nearest_n_whole, f"{_WHOLE} SELECT src, dst, time_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time_ms, dst) AS rank FROM ({_CELLS}) m WHERE time_ms IS NOT NULL AND src <> dst) k WHERE rank <= 2"),
+    "bfs_reach_whole": (bfs_reach_whole, f"{_WHOLE} SELECT src, count(*) AS reach FROM l GROUP BY src"),
+    "bidirectional_meet_whole": (bidirectional_meet_whole, f"{_WHOLE}, {_WHOLE_BACK} SELECT f.src, b.src AS dst, min(f.cost + b.cost) AS cost FROM l f JOIN b ON f.node = b.node WHERE f.src <> b.src GROUP BY f.src, b.src"),
+    "centroid_convergence_whole": (centroid_convergence_whole, f"{_WHOLE} SELECT node, count(DISTINCT src) AS origins, CAST(sum(cost) AS BIGINT) AS total FROM l GROUP BY node"),
+}
+
 QUERIES = {name: partial(derive.run, sql=sql) for name, sql in SQL.items()} | {name: f for name, (f, _) in PROGRAMS.items()}
 # Spark counts the days of the week from 1, DuckDB from 0; both start on Sunday.
 _WEEK = {"weekly_speed_profile": SQL["weekly_speed_profile"].replace("(dayofweek(ts) + 6) % 7", "dayofweek(ts)")}
