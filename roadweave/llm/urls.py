@@ -1,9 +1,9 @@
 """URL filter: rules by host and path, and a ratio of character language models for what no rule decides.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, are learned from all URLs that a rule
-decides, but for a fold kept for calibration. A model's counts are of n-grams up to ``ORDER`` characters hashed into tables
-of fixed size; a longer context is backed by the next shorter one in the proportion of its distinct continuations
-(Witten-Bell). A URL is allowed if the difference of its log-likelihoods a character reaches the threshold that has the
+decides, but for a fold kept for calibration. A model's counts are of whole n-grams, contexts up to ``ORDER`` characters and
+the one after, in distributed tables that grow with the distinct n-grams and are joined with those of the URLs scored; a
+longer context is backed by the next shorter one in the proportion of its distinct continuations (Witten-Bell). A URL is allowed if the difference of its log-likelihoods a character reaches the threshold that has the
 best balanced accuracy on the kept fold.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is scored as the empty text,
@@ -17,12 +17,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import stage
 
-ORDER, BITS = 5, 18
+ORDER = 5
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,111 +43,64 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def buckets(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order 0..ORDER the bucket of the n-gram (context and character) that ends at each place, and the text of each place.
+def windows(rows: DataFrame) -> DataFrame:
+    """(key, gram) for every character of every row (key, url): the character after its whole context of ``ORDER`` characters.
 
-    Each text is preceded by as many NULs as a context holds, so no context reaches into the text before.
+    Each text is preceded by as many NULs as a context holds. All shorter n-grams that end at the place are suffixes of it.
     """
-    pad = "\0" * ORDER
-    texts = [t or "" for t in texts]
-    codes = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    at = np.arange(sizes.sum()) + (owner + 1) * ORDER
-    out = []
-    for order in range(ORDER + 1):
-        h = np.full(len(at), order + 1, np.uint32)
-        for j in range(order, -1, -1):
-            h = (h ^ codes[at - j]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-        out.append(h >> np.uint32(32 - BITS))
-    return out, owner
-
-
-def contexts(texts: list[str | None]) -> list[np.ndarray]:
-    """For each order the bucket of the context alone (the n-gram of one order less, ending a place before); order 0 has none."""
-    pad = "\0" * ORDER
-    texts = [t or "" for t in texts]
-    codes = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts])
-    at = np.arange(sizes.sum()) + (np.repeat(np.arange(len(texts)), sizes) + 1) * ORDER
-    out = [np.zeros(len(at), np.uint32)]
-    for order in range(1, ORDER + 1):
-        h = np.full(len(at), order, np.uint32)
-        for j in range(order, 0, -1):
-            h = (h ^ codes[at - j]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-        out.append(h >> np.uint32(32 - BITS))
-    return out
-
-
-def counts(decided: DataFrame) -> DataFrame:
-    """(n_order, context, gram, accepted, rejected) over all rows (url, verdict), written."""
 
     def run(batches):
         for batch in batches:
-            urls, allow = batch.column(0).to_pylist(), np.array([v == "allow" for v in batch.column(1).to_pylist()], bool)
-            grams, owner = buckets(urls)
-            for order, (g, c) in enumerate(zip(grams, contexts(urls), strict=True)):
-                pair = (c.astype(np.int64) << 32) + g
-                keys, place = np.unique(pair, return_inverse=True)
-                yes = np.bincount(place, allow[owner], len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-                both = np.bincount(place, minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(keys), order), keys >> 32, keys & 0xFFFFFFFF, yes, both - yes)], ["n_order", "context", "gram", "accepted", "rejected"])
-
-    found = decided.select("url", "verdict").mapInArrow(run, "n_order long, context long, gram long, accepted long, rejected long")
-    return stage(found.groupBy("n_order", "context", "gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-counts")
-
-
-def model_rows(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(n_order, gram, accepted, rejected) and (n_order, context, accepted, rejected, kinds of either); at most 2**BITS rows an order each."""
-    sums = [F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")]
-    grams = table.groupBy("n_order", "gram").agg(*sums)
-    back = table.groupBy("n_order", "context").agg(*sums, F.count_if(F.col("accepted") > 0).alias("yes"), F.count_if(F.col("rejected") > 0).alias("no"))
-    return grams.toPandas().to_numpy(np.int64).reshape(-1, 4), back.toPandas().to_numpy(np.int64).reshape(-1, 6)
-
-
-class Ratio:
-    """Both models, in arrays of fixed size."""
-
-    def __init__(self, grams: np.ndarray, back: np.ndarray):
-        """The rows of ``model_rows``."""
-        size = (ORDER + 1, 1 << BITS)
-        self.gram = np.zeros((2, *size), np.float32)
-        self.context, self.kinds = np.zeros_like(self.gram), np.zeros_like(self.gram)
-        for k in (0, 1):
-            self.gram[k][grams[:, 0], grams[:, 1]] = grams[:, 2 + k]
-            self.context[k][back[:, 0], back[:, 1]] = back[:, 2 + k]
-            self.kinds[k][back[:, 0], back[:, 1]] = back[:, 4 + k]
-
-    def difference(self, texts: list[str | None]) -> np.ndarray:
-        """Log-likelihood as accepted less that as rejected, a character."""
-        grams, owner = buckets(texts)
-        back = contexts(texts)
-        p = np.full((2, len(owner)), 1 / 256)
-        for order, (g, c) in enumerate(zip(grams, back, strict=True)):
-            for k in (0, 1):
-                n, kinds = self.context[k][order][c].astype(float), self.kinds[k][order][c]
-                p[k] = np.where(n > 0, (self.gram[k][order][g] + kinds * p[k]) / np.maximum(n + kinds, 1), p[k])
-        size = np.bincount(owner, minlength=len(texts))
-        return np.bincount(owner, np.log(p[0]) - np.log(p[1]), len(texts)) / np.maximum(size, 1)
-
-
-def scored(rows: DataFrame, ratio: Ratio) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(ratio)
-    at = rows.columns.index("url")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            padded = ["\0" * ORDER + t for t in texts]
+            grams = [p[i : i + ORDER + 1] for p in padded for i in range(len(p) - ORDER)]
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.string())], ["key", "gram"])
+
+    return rows.select("key", "url").mapInArrow(run, "key long, gram string")
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.difference(batch.column(at).to_pylist()), pa.float64())], [*batch.schema.names, "llr"])
 
-    return rows.mapInArrow(run, rows.withColumn("llr", F.lit(0.0)).schema)
+def counts(rows: DataFrame) -> DataFrame:
+    """(gram, accepted, rejected) of every window of rows (key, url, verdict, learned), written: counts of the learned rows, 0 for the others'."""
+    learned = windows(rows.where("learned and verdict = 'allow'")).select("gram", F.lit(1).alias("accepted"), F.lit(0).alias("rejected"))
+    learned = learned.unionByName(windows(rows.where("learned and verdict <> 'allow'")).select("gram", F.lit(0).alias("accepted"), F.lit(1).alias("rejected")))
+    others = windows(rows.where("not learned")).select("gram", F.lit(0).alias("accepted"), F.lit(0).alias("rejected"))
+    return stage(learned.unionByName(others).groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-counts")
 
 
-def threshold(decided: DataFrame, ratio: Ratio) -> float:
+def ratios(table: DataFrame) -> DataFrame:
+    """(gram, ratio) of every row of ``counts``: log of the character's chance as accepted less that as rejected, in units of 2**-32.
+
+    A level's table has a row for each distinct n-gram of its order, keyed by the n-gram itself, and joins the level below by
+    the n-gram's suffix; the counts of a context are summed over its own n-grams. Nothing is gathered on the driver.
+    """
+    levels = [table]
+    for order in range(ORDER, 0, -1):
+        shorter = levels[0].groupBy(F.substring("gram", 2, order).alias("gram")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+        levels.insert(0, shorter)
+    below = None
+    for order, level in enumerate(levels):
+        own = Window.partitionBy(F.substring("gram", 1, order))
+        level = level.withColumns({f"{k}_{what}": e.over(own) for k in ("accepted", "rejected") for what, e in (("n", F.sum(k)), ("kinds", F.count_if(F.col(k) > 0)))})
+        if below is None:
+            level = level.withColumns({"accepted_p": F.lit(1 / 256), "rejected_p": F.lit(1 / 256)})
+        else:
+            level = level.withColumn("suffix", F.substring("gram", 2, order)).join(below, "suffix")
+        p = [F.when(F.col(f"{k}_n") > 0, (F.col(k) + F.col(f"{k}_kinds") * F.col(f"{k}_p")) / (F.col(f"{k}_n") + F.col(f"{k}_kinds"))).otherwise(F.col(f"{k}_p")).alias(f"{k}_p") for k in ("accepted", "rejected")]
+        below = level.select(F.col("gram").alias("suffix"), *p)
+    return below.select(F.col("suffix").alias("gram"), F.round((F.log("accepted_p") - F.log("rejected_p")) * 2**32).cast("long").alias("ratio"))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """rows (key, url, verdict, learned, ...) with llr: log-likelihood as accepted less that as rejected, a character; written."""
+    found = windows(rows).join(stage(ratios(counts(rows)), "url-ratios"), "gram").groupBy("key").agg((F.sum("ratio") / F.count("*") / 2**32).alias("llr"))
+    return stage(rows.join(found, "key", "left").withColumn("llr", F.coalesce("llr", F.lit(0.0))), "urls-scored")
+
+
+def threshold(decided: DataFrame) -> float:
     """The cut with the best balanced accuracy over all rows of the kept fold, from a histogram of fixed size."""
     cell = F.least(F.greatest(F.round(F.col("llr") * 100).cast("int"), F.lit(-1000)), F.lit(1000))
-    found = scored(decided, ratio).groupBy(cell.alias("cell")).agg(F.count_if(F.col("verdict") == "allow").alias("yes"), F.count_if(F.col("verdict") != "allow").alias("no")).orderBy("cell").collect()
+    found = decided.groupBy(cell.alias("cell")).agg(F.count_if(F.col("verdict") == "allow").alias("yes"), F.count_if(F.col("verdict") != "allow").alias("no")).orderBy("cell").collect()
     yes, no = sum(r["yes"] for r in found), sum(r["no"] for r in found)
     if not yes or not no:
         return 0.0
@@ -164,10 +117,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = stage(rows.withColumns({"rule": rule, "verdict": verdict}), "urls")
-    decided = rows.where(F.col("verdict").isNotNull())
-    kept = F.pmod(F.xxhash64("url"), F.lit(folds)) == 0
-    ratio = Ratio(*model_rows(counts(decided.where(~kept))))
-    cut = threshold(decided.where(kept), ratio)
+    learned = F.col("verdict").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(folds)) != 0)
+    rows = rows.withColumns({"rule": rule, "verdict": verdict, "key": F.monotonically_increasing_id()})
+    rows = scored(stage(rows.withColumn("learned", learned), "urls"))
+    cut = threshold(rows.where("verdict is not null and not learned"))
     decision = F.coalesce("verdict", F.when(F.col("llr") >= cut, "allow").otherwise("block"))
-    return scored(rows, ratio).select("page_id", "host", "path", "rule", decision.alias("verdict"), "llr")
+    return rows.select("page_id", "host", "path", "rule", decision.alias("verdict"), "llr")

@@ -202,6 +202,45 @@ def test_url_rules(spark):
     assert all(r.verdict in ("allow", "block") for r in got.values())
 
 
+def test_url_models_count_whole_ngrams(spark):
+    """Scores over more distinct n-grams than 2**18 equal those of a model kept in dictionaries."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_"
+    hosts = ("a.example.com/en/7", "a.net/de/", "b.com/en/", "c.org/es/", "d.io/")
+    cases = [f"http://{hosts[i % 5]}{''.join(rng.choice(letters) for _ in range(60))}" for i in range(8000)] + ["", None]
+    rows = urls.judge(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string"), RULES).collect()
+    hashed = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").selectExpr("page_id", "pmod(xxhash64(url), 5) <> 0 AS used").collect()
+    used = {r.page_id: r.used for r in hashed}
+    model = [({}, {}), ({}, {})]
+    for r in rows:
+        if r.rule is not None and used[r.page_id]:
+            grams, nexts = model[r.verdict != "allow"]
+            x = "\0" * 5 + cases[r.page_id]
+            for i in range(5, len(x)):
+                for order in range(6):
+                    g = x[i - order : i + 1]
+                    grams[g] = grams.get(g, 0) + 1
+                    nexts.setdefault((order, g[:-1]), {}).setdefault(g, 0)
+                    nexts[order, g[:-1]][g] += 1
+    assert len({g for grams, _ in model for g in grams if len(g) == 6}) > 2**18
+
+    def score(t):
+        x, total = "\0" * 5 + t, 0.0
+        for i in range(5, len(x)):
+            p = [1 / 256, 1 / 256]
+            for order in range(6):
+                g = x[i - order : i + 1]
+                for k, (grams, nexts) in enumerate(model):
+                    if after := nexts.get((order, g[:-1])):
+                        p[k] = (grams.get(g, 0) + len(after) * p[k]) / (sum(after.values()) + len(after))
+            total += np.log(p[0]) - np.log(p[1])
+        return total / max(len(t), 1)
+
+    by_id = {r.page_id: r for r in rows}
+    for i in [*range(0, 8000, 171), 8000, 8001]:
+        assert abs(by_id[i].llr - score(cases[i] or "")) < 1e-6
+
+
 @pytest.mark.parametrize("name", ["quality", "toxicity"])
 def test_held_out_accuracy(spark, name):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
