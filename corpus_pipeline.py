@@ -21,12 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles and a similarity of 0.8 the one with the smallest id stays."""
-    found = similarity_join.near_duplicates(docs, n_words=5, percent=80)
-    kept = stage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "kept"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return rows.dropDuplicates(["doc_id"]) if repeated.limit(1).count() else rows
+    """Of documents linked by five-word shingles and a similarity of 0.8 the one with the smallest id stays.
+
+    Rows go by a key written once, so rows with a null or a repeated id are documents of their own; a null id comes last.
+    """
+    keyed = stage(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = similarity_join.near_duplicates(keyed, n_words=5, percent=80, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    kept = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first"))
+    kept = stage(kept.select(F.col("first.row_key").alias("row_key")), "kept")
+    return keyed.join(kept, "row_key", "left_semi").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

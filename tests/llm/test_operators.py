@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from roadweave.llm import mixing, neighbours, packing, quality, similarity_join, token_files, toxicity, urls, warc, winnowing
 from roadweave.llm.catalog import RULES, vocabulary
 from roadweave.llm.shingles import Words, shingle_sets
@@ -306,3 +307,18 @@ def test_components_are_those_of_a_union_find(spark):
         found = components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "u long, v long"), chunk).collect()
         assert len(found) == len(want) and dict(map(tuple, found)) == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("unrelated", [False, True])
+def test_pipeline_keeps_one_of_each_group(spark, unrelated):
+    """Null and repeated ids are documents of their own, whether or not an unrelated id repeats."""
+    near = lambda seed: text(seed, 60) + " last"
+    rows = [(None, text(1, 60)), (None, near(1)), (None, text(2, 60)), (None, None), (None, "")]
+    rows += [(7, text(3, 60)), (7, text(4, 60)), (9, text(5, 60)), (8, near(5)), (None, text(5, 60)), (11, text(6, 60)), (12, None)]
+    rows += [(20, text(7, 60)), (20, text(8, 60))] if unrelated else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    first = [t for i, t in got if i is None and t in (text(1, 60), near(1))]
+    assert len(first) == 1
+    want = [(None, first[0]), (None, text(2, 60)), (None, None), (None, ""), (7, text(3, 60)), (7, text(4, 60)), (8, near(5)), (11, text(6, 60)), (12, None)]
+    assert sorted(got, key=repr) == sorted(want + rows[12:], key=repr)
