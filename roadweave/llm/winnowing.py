@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut at spaces into units, a run without spaces after every 32 code points. Rolling hashes of ``k`` neighbouring
-units are taken, and from each window of ``w`` of them the least, the rightmost of equals, with its position. So any
+A text is cut at every white-space character into units; a run of more than ``LONG`` code points without any gives, from each
+of its positions, the ``GRAM`` code points there as a unit, so its units don't depend on where a passage starts. Rolling hashes
+of ``k`` neighbouring units are taken, and from each window of ``w`` of them the least, the rightmost of equals, with its position. So any
 run of w + k - 1 units that two texts share gives both an equal hash, and no match is shorter than k units. A selected
 hash is kept as one long: 40 bits of hash above 24 bits that fall with the position (taken modulo 2**24).
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from roadweave.llm.common import partitions
 
 LOW = (1 << 24) - 1
+LONG, GRAM = 32, 8
+#: Unicode White_Space, as the inside of a character class.
+SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def let(value: Column, then) -> Column:
@@ -25,8 +29,14 @@ def let(value: Column, then) -> Column:
 
 
 def units(text: Column) -> Column:
-    cut = F.when(F.rlike(text, F.lit("[^ ]{33}")), F.regexp_replace(text, "([^ ]{32})(?=[^ ])", "$1 ")).otherwise(text)
-    return F.split(cut, " ", -1)
+    """The hashes of the units, in order."""
+    runs = F.split(text, f"[{SPACE}]", -1)
+
+    def grams(run: Column) -> Column:
+        return let(F.split(run, "", -1), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM)))))
+
+    long = F.flatten(F.transform(runs, lambda run: F.when(F.length(run) > LONG, grams(run)).otherwise(F.array(F.xxhash64(run)))))
+    return F.when(F.rlike(text, F.lit(f"[^{SPACE}]{{{LONG + 1}}}")), long).otherwise(F.transform(runs, lambda run: F.xxhash64(run)))
 
 
 def winnow(text: Column, k: int = 4, w: int = 8) -> Column:
@@ -44,7 +54,7 @@ def winnow(text: Column, k: int = 4, w: int = 8) -> Column:
     def changes(m: Column) -> Column:
         return F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
 
-    found = let(F.transform(units(text), lambda u: F.xxhash64(u)), lambda h: let(grams(h), lambda g: let(least(g), changes)))
+    found = let(units(text), lambda h: let(grams(h), lambda g: let(least(g), changes)))
     return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(found)
 
 

@@ -169,6 +169,21 @@ def test_winnowing_guarantee(spark):
     assert all(a & b for a in sets for b in sets)
 
 
+def test_winnowing_without_spaces(spark):
+    """A passage that texts share is found at any offset in runs without spaces, and between white space of any kind."""
+    rng = random.Random(4)
+    run = lambda n: "".join(chr(rng.choice((0x4E00, 0x1F300)) + rng.randrange(200)) for _ in range(n))
+    shared = run(winnowing.GRAM + 4 + 8 - 2)
+    rows = [(i, run(40 + i) + shared + run(50)) for i in range(9)]
+    words = text(9, 11).split()
+    for i, space in enumerate("\t\n\r\u3000\u2028\u00a0 "):
+        rows.append((100 + i, space.join(text(70 + i, 20).split() + words + text(80 + i, 20).split())))
+    found = {r.doc_id: {x >> 24 for x in r.selected} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 4, 8).collect()}
+    for ids in (range(9), range(100, 107)):
+        assert all(found[a] & found[b] for a in ids for b in ids)
+    assert not found[0] & found[100]
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "http://b/\n", None), (4, "u", ""), (5, "u", "y\r\n\r\nz" * 900), (9, "u", "x")]
     found = {r.page_id: r for r in warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
