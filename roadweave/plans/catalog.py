@@ -11,8 +11,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.functions.geo import bearing, fixed, haversine, planar, tile_id, turn_degree, turn_type
-from roadweave.operators.search import converge, relax, relax_sql
+from roadweave.functions.geo import METRES_PER_DEGREE, bearing, fixed, haversine, planar, tile_id, turn_degree, turn_type
+from roadweave.operators.search import converge, cut, relax, relax_sql
 from roadweave.plans import derive
 from roadweave.plans.derive import DEPARTURES, EDGES, HOPS, NODES, TRACES, idiv
 
@@ -283,6 +283,68 @@ PROGRAMS |= {
     "centroid_convergence_whole": (centroid_convergence_whole, f"{_WHOLE} SELECT node, count(DISTINCT src) AS origins, CAST(sum(cost) AS BIGINT) AS total FROM l GROUP BY node"),
 }
 
+# Traces to edges by the distance from the point to the segment; squared metres times 1000.
+POINTS = "SELECT event_id, 5.0E0 + x * 0.001E0 + 0.0003E0 AS lon, 52.0E0 + y * 0.001E0 + 0.0002E0 AS lat FROM traces"
+SEGMENTS = "SELECT eid, lon_u, lat_u, lon_v, lat_v FROM edges"
+CELL, CUTOFF, SEARCH_RADIUS = 0.001, 35_000, 50
+
+
+def to_segments(pairs: str) -> str:
+    """(event_id, eid, d2) of pairs (event_id, lon, lat, eid and the segment's ends), planar at the point's latitude."""
+    metres = f"{METRES_PER_DEGREE!r}E0"
+    flat = f"SELECT event_id, eid, (lon_u - lon) * cos(radians(lat)) * {metres} AS ax, (lat_u - lat) * {metres} AS ay, (lon_v - lon_u) * cos(radians(lat)) * {metres} AS dx, (lat_v - lat_u) * {metres} AS dy FROM {pairs}"
+    along = f"SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0.0E0 ELSE least(1.0E0, greatest(0.0E0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS t FROM ({flat}) flat"
+    return f"SELECT event_id, eid, {fixed('pow(ax + t * dx, 2) + pow(ay + t * dy, 2)', 1000)} AS d2 FROM ({along}) along"
+
+
+def beside(points: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """(event_id, eid, d2) of each point and all edges in its cell of ``size`` degrees and the eight around it."""
+    spark = points.sparkSession
+    cell = lambda e: F.floor(F.expr(e) / size)
+    spread = lambda a, b: F.explode(F.sequence(cell(f"least({a})"), cell(f"greatest({b})")))
+    binned = edges.withColumn("cx", spread("lon_u, lon_v", "lon_u, lon_v")).withColumn("cy", spread("lat_u, lat_v", "lat_u, lat_v"))
+    asked = points.withColumn("cx", F.explode(F.sequence(cell("lon") - 1, cell("lon") + 1))).withColumn("cy", F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)))
+    return spark.sql(to_segments("{pairs}"), pairs=asked.join(binned, ["cx", "cy"])).distinct()
+
+
+def nearest_edge_ring(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:  # JON8, SNP1, SNP2
+    """The k nearest edges of each point within CUTOFF metres; cells double until the k-th is nearer than what they cover."""
+    from pyspark.sql import Window
+
+    edges = cut(derive.run(spark, sf_dir, f"WITH {EDGES} {SEGMENTS}"), "edges")
+    left = cut(derive.run(spark, sf_dir, f"WITH {TRACES} {POINTS}"), "points")
+    rank, size, found = F.row_number().over(Window.partitionBy("event_id").orderBy("d2", "eid")), CELL, []
+    while True:
+        near = cut(beside(left, edges, size).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k), "near")
+        covered = F.pow(size * METRES_PER_DEGREE * F.cos(F.radians("lat")), F.lit(2.0)) * 1000 - 1
+        whole = left.where(F.sqrt((covered + 1) / 1000) > CUTOFF).select("event_id")
+        kth = near.where(F.col("rank") == k).select("event_id", "d2").join(left.select("event_id", covered.alias("covered")), "event_id").where("d2 < covered")
+        done = cut(kth.select("event_id").union(whole).distinct(), "done")
+        found.append(near.join(done, "event_id", "left_semi"))
+        left = cut(left.join(done, "event_id", "left_anti"), "points")
+        if left.isEmpty():
+            break
+        size *= 2
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.where(F.col("d2") <= CUTOFF**2 * 1000).select("event_id", "eid", "d2", "rank")
+
+
+def trace_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:  # JON9, MM1, MM2
+    """All edges within SEARCH_RADIUS metres of each point; a cell is wider than that up to 63 degrees of latitude."""
+    edges = derive.run(spark, sf_dir, f"WITH {EDGES} {SEGMENTS}")
+    near = beside(derive.run(spark, sf_dir, f"WITH {TRACES} {POINTS}"), edges, CELL).where(F.col("d2") <= SEARCH_RADIUS**2 * 1000)
+    return near.select("event_id", "eid", "d2", F.expr(_EMISSION).alias("emission"))
+
+
+_EMISSION = fixed("d2 / 1000.0E0 / (2 * 4.07E0 * 4.07E0)", 1000)
+_ALL_PAIRS = f"WITH {EDGES}, {TRACES}, near AS ({to_segments(f'({POINTS}) p CROSS JOIN ({SEGMENTS}) e')})"
+PROGRAMS |= {
+    "nearest_edge_ring": (nearest_edge_ring, f"{_ALL_PAIRS} SELECT event_id, eid, d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d2, eid) AS rank FROM near WHERE d2 <= {CUTOFF**2 * 1000}) k WHERE rank <= 3"),
+    "trace_candidates": (trace_candidates, f"{_ALL_PAIRS} SELECT event_id, eid, d2, {_EMISSION} AS emission FROM near WHERE d2 <= {SEARCH_RADIUS**2 * 1000}"),
+}
+
 QUERIES = {name: partial(derive.run, sql=sql) for name, sql in SQL.items()} | {name: f for name, (f, _) in PROGRAMS.items()}
 # Spark counts the days of the week from 1, DuckDB from 0; both start on Sunday.
 _WEEK = {"weekly_speed_profile": SQL["weekly_speed_profile"].replace("(dayofweek(ts) + 6) % 7", "dayofweek(ts)")}
