@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (local tests), one under /tmp that is then set."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one under /tmp that is then set, which a local master alone may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,7 +30,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: the lineage is cut, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes what ``stage`` wrote for these frames, which nothing reads any more."""
+    for df in staged:
+        if path := getattr(df, "staged_path", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality: attention-based multiple-instance learning over a text's passages.
 
-A text is cut into passages of ``PASSAGE`` code points. A passage is described by the shares of character classes, of
+A text is cut into passages of ``PASSAGE`` code points. A passage is described, by itself, by the shares of character classes, of
 hashed pairs of neighbouring characters and of words that repeat the one before; a layer encodes it, gated attention
 (tanh and sigmoid branches multiplied) weighs the passages of a document, and the weighted encoding is scored. Everything
 is learned together from document labels. For scoring, a passage needs two numbers only, its attention and its part of the
@@ -14,18 +14,18 @@ named like a result are replaced.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import fold
-from roadweave.llm.learning import Adam, labelled_sample, sigmoid
+from roadweave.llm.learning import Adam, labelled_sample, share_of_ones, sigmoid
 
 PASSAGE, PAIRS, HIDDEN, GATE = 400, 64, 24, 12
-BLOCK = 1_000_000
+BLOCK = 1000 * PASSAGE
 SINGLE = "!#$%&*|.,;:?-_/"
 CLASSES = 8 + len(SINGLE)
+WIDTH = CLASSES + PAIRS + 3
 
 
 def _classes() -> np.ndarray:
@@ -43,7 +43,11 @@ KIND = _classes()
 
 
 def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of features for each passage, and the text of each; an empty text has one row of zeros."""
+    """A row of features for each passage, and the text of each; an empty text has one row of zeros.
+
+    A passage is described by its own characters alone: pairs, words and repeats don't reach over its ends. So its row is the same
+    whatever stands beside it, and texts may be described in any batches, or in blocks of whole passages.
+    """
     sizes = np.array([len(t) for t in texts])
     count = np.maximum(1, -(-sizes // PASSAGE))
     owner = np.repeat(np.arange(len(texts)), count)
@@ -52,20 +56,25 @@ def describe(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length[first + count - 1] = sizes - (count - 1) * PASSAGE
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     n, total = len(owner), len(codes)
-    passage = np.repeat(np.arange(n), length)
+    passage = np.repeat(np.arange(n, dtype=np.int32), length)
     kind = KIND[np.minimum(codes, 0xFFFF)]
     per = np.maximum(length, 1)[:, None]
-    classes = np.bincount(passage * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES) / per
-    pair = ((codes[:-1] * np.uint32(0x9E3779B1) ^ codes[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0x2C1B3C6D)) >> np.uint32(26)
-    pairs = np.bincount(passage[1:] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) / per if total else np.zeros((n, PAIRS))
-    solid = (kind != 3) & (kind != 4)
-    edge = np.diff(np.concatenate(([0], solid.astype(np.int8), [0])))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    running = np.concatenate(([0], np.cumsum(codes * np.uint64(0x9E3779B97F4A7C15) ^ (codes.astype(np.uint64) << np.uint64(29)), dtype=np.uint64)))
+    classes = np.bincount(passage * np.int64(CLASSES) + kind, minlength=n * CLASSES).reshape(n, CLASSES) / per
+    begins = np.ones(total + 1, bool)
+    begins[1:-1] = passage[1:] != passage[:-1]
+    inner = np.flatnonzero(~begins[1:-1])
+    pair = ((codes[inner] * np.uint32(0x9E3779B1) ^ codes[inner + 1] * np.uint32(0x85EBCA6B)) * np.uint32(0x2C1B3C6D)) >> np.uint32(26)
+    pairs = np.bincount(passage[inner] * np.int64(PAIRS) + pair, minlength=n * PAIRS).reshape(n, PAIRS) / per
+    solid = np.zeros(total + 2, bool)
+    solid[1:-1] = (kind != 3) & (kind != 4)
+    begin = np.flatnonzero(solid[1:-1] & (~solid[:-2] | begins[:-1]))
+    end = np.flatnonzero(solid[1:-1] & (~solid[2:] | begins[1:])) + 1
+    running = np.zeros(total + 1, np.uint64)
+    np.cumsum(codes * np.uint64(0x9E3779B97F4A7C15) ^ (codes.astype(np.uint64) << np.uint64(29)), dtype=np.uint64, out=running[1:])
     word = (running[end] - running[begin]) * np.uint64(31) + (end - begin).astype(np.uint64)
+    at = passage[begin]
     again = np.zeros(len(word), bool)
-    again[1:] = word[1:] == word[:-1]
-    at = passage[begin] if len(begin) else np.zeros(0, np.int64)
+    again[1:] = (word[1:] == word[:-1]) & (at[1:] == at[:-1])
     words = np.bincount(at, minlength=n)
     extra = np.stack((np.bincount(at, again, n) / np.maximum(words, 1), words * 5 / per[:, 0], np.minimum(length, PASSAGE) / PASSAGE), axis=1)
     return np.concatenate((classes, pairs, extra), axis=1).astype(np.float32), owner
@@ -85,14 +94,35 @@ def pool(owner: np.ndarray, attention: np.ndarray, value: np.ndarray, n: int) ->
     return np.bincount(owner, weight * value, n) / np.bincount(owner, weight, n)
 
 
-def fit(sample: pd.DataFrame, rounds: int = 220, rate: float = 0.01, ridge: float = 1e-4, seed: int = 7) -> dict:
-    y = sample["y"].to_numpy(float)
-    n, ones = len(y), float(y.sum())
+def bags(sample: DataFrame, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of features, the bag of each, label of each bag) of a written sample, in the order of ids.
+
+    The rows are made on the executors. Of a text of more than ``most`` passages that many come, spread evenly over the whole
+    text, so the driver gets at most ``most`` rows of 90 floats for each labelled text, whatever the texts' lengths.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                passages = max(1, -(-len(text) // PASSAGE))
+                taken = np.unique(np.linspace(0, passages - 1, min(most, passages)).round().astype(int)).tolist()
+                rows, _ = describe([text[k * PASSAGE : (k + 1) * PASSAGE] for k in taken])
+                out.append((doc, y, rows.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "y", "rows"])
+
+    found = sorted(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, rows binary").toLocalIterator(), key=lambda r: r["doc_id"])
+    parts = [np.frombuffer(r["rows"], np.float32).reshape(-1, WIDTH) for r in found]
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.array([r["y"] for r in found], float)
+
+
+def fit(sample: DataFrame, rounds: int = 220, rate: float = 0.01, ridge: float = 1e-4, seed: int = 7) -> dict:
+    n, ones = share_of_ones(sample)
     if not 0 < ones < n:
         return {"share": (ones + 1) / (n + 2)}
-    x, owner = describe(list(sample["text"]))
+    x, owner, y = bags(sample)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = (x - mean) / spread
+    x = ((x - mean) / spread).astype(float)
     rng = np.random.default_rng(seed)
     m = {
         "W": rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)),
@@ -105,19 +135,19 @@ def fit(sample: pd.DataFrame, rounds: int = 220, rate: float = 0.01, ridge: floa
     }
     step = Adam(m, rate)
     weight = np.where(y == 1, 0.5 / ones, 0.5 / (n - ones))
-    bags = np.flatnonzero(np.diff(owner, prepend=-1))
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
     for _ in range(rounds):
         e = np.tanh(x @ m["W"] + m["b"])
         a, g = np.tanh(e @ m["V"]), sigmoid(e @ m["U"])
         s = (a * g) @ m["w"]
-        top = np.maximum.reduceat(s, bags)
+        top = np.maximum.reduceat(s, starts)
         p = np.exp(s - top[owner])
-        p /= np.add.reduceat(p, bags)[owner]
-        z = np.add.reduceat(p[:, None] * e, bags, axis=0)
+        p /= np.add.reduceat(p, starts)[owner]
+        z = np.add.reduceat(p[:, None] * e, starts, axis=0)
         error = (sigmoid(z @ m["c"] + m["d"]) - y) * weight
         back = error[owner][:, None] * m["c"]
         part = (back * e).sum(axis=1)
-        ds = p * (part - np.add.reduceat(p * part, bags)[owner])
+        ds = p * (part - np.add.reduceat(p * part, starts)[owner])
         da, dg = ds[:, None] * m["w"] * g * (1 - a * a), ds[:, None] * m["w"] * a * g * (1 - g)
         de = (p[:, None] * back + da @ m["V"].T + dg @ m["U"].T) * (1 - e * e)
         slopes = {"W": x.T @ de, "b": de.sum(axis=0), "V": e.T @ da, "U": e.T @ dg, "w": (a * g).T @ ds, "c": z.T @ error, "d": np.array([error.sum()])}
@@ -126,7 +156,7 @@ def fit(sample: pd.DataFrame, rounds: int = 220, rate: float = 0.01, ridge: floa
 
 
 def logits(texts: list[str | None], m: dict) -> np.ndarray:
-    """The logit of each whole text."""
+    """The logit of each whole text, to eight decimals, so that the shape of a matrix product, which may move the last bits, doesn't show."""
     attention, value, owner, block, held = [], [], [], [], 0
 
     def flush() -> None:
@@ -149,7 +179,7 @@ def logits(texts: list[str | None], m: dict) -> np.ndarray:
         flush()
     if not texts:
         return np.zeros(0)
-    return pool(np.concatenate(owner), np.concatenate(attention), np.concatenate(value), len(texts)) + m["d"]
+    return np.round(pool(np.concatenate(owner), np.concatenate(attention), np.concatenate(value), len(texts)) + m["d"], 8)
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
