@@ -26,9 +26,8 @@ MANY, FEW = 4096, 64
 
 
 def words(text: Column) -> Column:
-    """A count of tokens: words between ASCII white space, runs of it counted by character."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(F.length(text) == 0, F.lit(0)).otherwise(1 + F.length(text) - F.length(F.translate(text, " \t\n\x0b\f\r", ""))).cast("long")
+    """The tokens that shares and budgets count: runs other than of ASCII white space."""
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def bisect(fits: Callable[[float], bool], steps: int = 40) -> float:
@@ -73,7 +72,7 @@ def exponent(sources: DataFrame, repeat: float | None, entropy: float | None) ->
 def plan(docs: DataFrame, repeat: float | None, entropy: float | None, budget: int | None, seed: int, source_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(sources, blocks): of each source its tokens, weight, budget, whole epochs and cut; of each block its order and place."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("\0null"))
-    rows = docs.select(source.alias("source"), F.col("doc_id"), words(F.col(text_col)).alias("tokens"))
+    rows = stage(docs.select(source.alias("source"), F.col("doc_id"), words(F.col(text_col)).alias("tokens")), "mix-rows")
     sources = stage(rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens")), "sources")
     alpha = exponent(sources, repeat, entropy)
     share = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(alpha))).otherwise(0.0)
@@ -83,6 +82,8 @@ def plan(docs: DataFrame, repeat: float | None, entropy: float | None, budget: i
     blocks_of = F.least(F.lit(MANY), F.ceil(F.col("documents") / FEW)).cast("int")
     sources = sources.withColumns({"alpha": F.lit(alpha), "weight": weight, "n_blocks": blocks_of})
     budgeted = F.floor(weight * size + F.lit(1e-6)).cast("long")
+    if budget is None:  # products of doubles may fall below the one whole epoch that the size is chosen for
+        budgeted = F.greatest(F.col("tokens"), budgeted)
     sources = sources.withColumn("budget", budgeted)
     sources = sources.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(1).cast("int"))
     sources = stage(sources.withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(0)), "sources")
@@ -138,21 +139,30 @@ def mix(docs: DataFrame, repeat: float | None = 2.0, entropy: float | None = Non
     ends = cuts(rows, sources, seed)
     sources = stage(sources.join(ends, "source", "left"), "mix-plan")
     clean = docs.drop("mix_source", "mix_tokens", "epoch", "block", "block_key", "row_key", "weight")
-    planned = sources.select(F.col("source").alias("mix_source"), "weight", "n_blocks", "epochs", "rest", "cut_block", "cut_key", "cut_row")
     clean = clean.withColumns({"mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("\0null")), "mix_tokens": words(F.col(text_col))})
-    few = sources.count() <= SMALL
-    named = planned.withColumnRenamed("mix_source", "of")
-    if few:
-        out = clean.join(F.broadcast(named), F.col("mix_source") == F.col("of")).drop("of")
+    # everything planned stands in one struct beside the caller's columns, under a name that none of them has
+    own = unused("planned", clean.columns)
+    planned = sources.select(F.struct("source", "weight", "n_blocks", "epochs", "rest", "cut_block", "cut_key", "cut_row").alias(own))
+    got = lambda name: F.col(f"{own}.{name}")
+    if sources.count() <= SMALL:
+        out = clean.join(F.broadcast(planned), F.col("mix_source") == got("source"))
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-        out = clean.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-        out = out.join(named.withColumn("salted", salts), (F.col("mix_source") == F.col("of")) & (F.col("salt") == F.col("salted"))).drop("of", "salt", "salted")
-    out = out.withColumn("block", block_of(F.col("n_blocks"), seed))
-    last = F.col("epochs")
+        salt = unused("salt", [own, *clean.columns])
+        out = clean.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+        salted = planned.withColumn(salt + "_of", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        out = out.join(salted, (F.col("mix_source") == got("source")) & (F.col(salt) == F.col(salt + "_of"))).drop(salt, salt + "_of")
+    out = out.withColumn("block", block_of(got("n_blocks"), seed))
+    last = got("epochs")
     key = block_key(F.col("mix_source"), F.col("block"), last, seed)
-    partial = (F.col("rest") > 0) & (F.col("mix_tokens") > 0) & ((key < F.col("cut_key")) | ((F.col("block") == F.col("cut_block")) & (row_key(last, seed) <= F.col("cut_row"))))
+    partial = (got("rest") > 0) & (F.col("mix_tokens") > 0) & ((key < got("cut_key")) | ((F.col("block") == got("cut_block")) & (row_key(last, seed) <= got("cut_row"))))
     reads = last + F.coalesce(partial, F.lit(False)).cast("int")
     out = out.withColumn("epoch", F.explode(F.when(reads > 0, F.sequence(F.lit(0), reads - 1)).otherwise(F.array().cast("array<int>"))))
-    out = out.withColumns({"block_key": block_key(F.col("mix_source"), F.col("block"), F.col("epoch"), seed), "row_key": row_key(F.col("epoch"), seed)})
-    return out.drop("n_blocks", "epochs", "rest", "cut_block", "cut_key", "cut_row")
+    out = out.withColumns({"block_key": block_key(F.col("mix_source"), F.col("block"), F.col("epoch"), seed), "row_key": row_key(F.col("epoch"), seed), "weight": got("weight")})
+    return out.drop(own)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it or starts with it."""
+    while any(t.lower().startswith(name) for t in taken):
+        name += "_"
+    return name
