@@ -3,12 +3,12 @@
 Pieces are dealt into shards of about ``shard`` pieces; several islands evolve each shard from best-fit-decreasing packings
 of differently perturbed orders. Crossover injects whole well-filled bins of one parent into the other, takes out
 the bins that then hold a piece twice, and best-fits the displaced pieces. Between epochs an island's elite migrates to
-the next island of its shard. Poorly filled bins of all shards go on to a level with far fewer shards until there is one,
-so what is lost doesn't add up over shards. Only ids and lengths move; texts and ids stay in the written pieces.
+the next island of its shard. Poorly filled bins of all shards go on to further levels, whose shards are of the same bounded
+size, until one shard holds them or a level saves no bins. Only ids and lengths move; texts and ids stay in the written pieces.
 
 Defined results: a null or empty text is the one piece [end id]; repeated rows and rows with equal or null doc_ids are
-packed each for itself; an empty table gives an empty frame; further columns are kept unless their names clash with the
-operator's own, which replace them.
+packed each for itself; an empty table gives an empty frame. ``cut_documents`` returns its own columns alone; ``pack`` keeps
+further columns of its pieces, and its results replace those named like them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import stage
+from roadweave.llm.common import discard, stage
 from roadweave.llm.token_files import encoder
 from roadweave.llm.tokens import by_text
 
@@ -175,39 +175,50 @@ def level(pieces: DataFrame, shards: int, capacity: int, islands: int, epochs: i
     rows = pieces.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(shards)).alias("shard"))
     rows = rows.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumns({"bin": F.lit(-1).cast("long"), "tag": F.lit(0)})
     for k in range(epochs):
-        out = stage(epoch(rows, capacity, generations, population, k), f"packing-{number}-{k}")
+        last, out = (out if k else None), stage(epoch(rows, capacity, generations, population, k), f"packing-{number}-{k}")
+        if last is not None:
+            discard(last)
         visits = F.array(F.struct(F.col("island").alias("to"), F.lit(0).alias("tag")), F.struct(((F.col("island") + 1) % islands).cast("int").alias("to"), F.lit(1).alias("tag")))
         rows = out.withColumn("v", F.explode(visits if islands > 1 else F.slice(visits, 1, 1))).select("shard", "uid", "length", "bin", F.col("v.to").alias("island"), F.col("v.tag").alias("tag"))
     bins = out.groupBy("shard", "island", "bin").agg(F.sum("length").alias("filled"))
     scores = bins.groupBy("shard", "island").agg(F.count("*").alias("n"))
     won = scores.groupBy("shard").agg(F.min_by("island", F.struct("n", "island")).alias("island"))
-    won = bins.join(won, ["shard", "island"]).drop("island").withColumnRenamed("bin", "bin_of")
-    best = out.join(scores.groupBy("shard").agg(F.min_by("island", F.struct("n", "island")).alias("island")), ["shard", "island"])
-    best = best.join(won, (best["shard"] == won["shard"]) & (best["bin"] == won["bin_of"])).select("uid", "length", best["shard"], "bin", "filled")
+    best = out.join(won, ["shard", "island"]).join(bins, ["shard", "island", "bin"])
     sequence = F.lit(number << 56) + F.shiftleft(F.col("shard"), 24) + F.col("bin")
-    return stage(best.select("uid", "length", sequence.alias("sequence_id"), "filled"), f"packed-{number}")
+    best = stage(best.select("uid", "length", sequence.alias("sequence_id"), "filled"), f"packed-{number}")
+    discard(out)
+    return best
 
 
-def pack(pieces: DataFrame, capacity: int, shard: int = 2000, islands: int = 2, epochs: int = 2, generations: int = 12, population: int = 4, again: float = 0.97) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, shard: int = 2000, islands: int = 2, epochs: int = 2, generations: int = 12, population: int = 4, again: float = 0.97, least: float = 0.001) -> DataFrame:
     """``pieces`` (uid and length, and whatever else) with sequence_id and offset: gapless in each sequence, by uid.
 
-    Full pieces are sequences already. Bins filled to less than ``again`` are packed anew on the next level, which has a
-    32nd of the shards; the level with one shard is the last, and what reaches it is bounded by a few bins of each shard.
+    Full pieces are sequences already. Bins filled to less than ``again`` are packed anew on the next level, whose shards again
+    have about ``shard`` pieces of what is left, dealt out differently, so no task gets more than that however poorly lengths fit.
+    The last level is the one that has a single shard, or that saves less than ``least`` of the bins it took apart; if
+    it saves none, the bins stay as they were.
     """
     left = pieces.select("uid", "length")
     done = [left.where(F.col("length") >= capacity).select("uid", "length", F.lit(127 << 56).cast("long").bitwiseOR(F.col("uid")).alias("sequence_id"))]
     left = left.where(F.col("length") < capacity)
-    number, shards = 0, -(-left.count() // shard)
-    while shards:
+    number, count, before, poor = 0, left.count(), None, None
+    while count:
+        shards = -(-count // shard)
         out = level(left, shards, capacity, islands, epochs, generations, population, number)
-        last = shards == 1
-        done.append(out.where(F.lit(last) | (F.col("filled") >= capacity * again)).select("uid", "length", "sequence_id"))
-        left = out.where(F.col("filled") < capacity * again).select("uid", "length")
-        number, shards = number + 1, 0 if last else -(-shards // 32)
+        if before is not None and (after := out.select("sequence_id").distinct().count()) >= before - least * before:
+            out, shards = (out, 1) if after < before else (poor, 1)
+        if shards == 1:
+            done.append(out.select("uid", "length", "sequence_id"))
+            break
+        poor = out.where(F.col("filled") < capacity * again)
+        done.append(out.where(F.col("filled") >= capacity * again).select("uid", "length", "sequence_id"))
+        left = poor.select("uid", "length")
+        size = poor.agg(F.count("*").alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
+        number, count, before = number + 1, size["n"], size["bins"]
     plan = done[0]
     for more in done[1:]:
         plan = plan.unionByName(more)
 
-    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
-    plan = plan.select("uid", "sequence_id", F.coalesce(before, F.lit(0)).alias("offset"))
+    place = Window.partitionBy("sequence_id").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
+    plan = plan.select("uid", "sequence_id", F.coalesce(F.sum("length").over(place), F.lit(0)).alias("offset"))
     return pieces.drop("sequence_id", "offset").join(plan, "uid")
