@@ -14,6 +14,7 @@ import functools
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from roadweave.llm.tokens import Encoder, by_text
 
 HEADER_MAGIC, INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 FRAME = 1 << 17
+ROLL_BYTES, ROLL_DOCUMENTS = 1 << 28, 2_000_000
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("size", "<u8")])
 SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 
@@ -49,14 +51,15 @@ class IdWriter:
     def __init__(self, folder: str, name: str, kind: str, level: int):
         self.out, self.kind = AtomicFile(folder, name), np.dtype(kind)
         self.squeeze = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.index, self.seek, self.held, self.size, self.total = [], [], [], 0, 0
+        self.doc_ids, self.nulls, self.sizes, self.seek = array("q"), array("B"), array("Q"), array("I")
+        self.held, self.size, self.total = [], 0, 0
         self.out.write(skippable(HEADER_MAGIC, json.dumps({"version": 1, "dtype": self.kind.str}).encode()))
 
     def frame(self, ids: np.ndarray) -> None:
         plain = ids.tobytes()
         packed = self.squeeze.compress(plain)
         self.out.write(packed)
-        self.seek.append((len(packed), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
+        self.seek.extend((len(packed), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
 
     def flush(self) -> None:
         if self.size:
@@ -64,7 +67,9 @@ class IdWriter:
         self.held, self.size = [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.index.append((doc_id or 0, doc_id is None, len(ids)))
+        self.doc_ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
+        self.sizes.append(len(ids))
         self.total += len(ids)
         ids = ids.astype(self.kind)
         if self.size + len(ids) > FRAME:
@@ -76,12 +81,20 @@ class IdWriter:
         self.held.append(ids)
         self.size += len(ids)
 
-    def close(self) -> None:
+    def full(self) -> bool:
+        """Whether the next document belongs in another file, so index, seek table and what a reader holds stay small."""
+        return self.out.size >= ROLL_BYTES or len(self.sizes) >= ROLL_DOCUMENTS
+
+    def close(self) -> dict:
         self.flush()
-        self.out.write(skippable(INDEX_MAGIC, np.array(self.index, ENTRY).tobytes()))
-        table = np.array(self.seek, SEEK).tobytes()
-        self.out.write(skippable(SEEK_MAGIC, table + struct.pack("<IBI", len(self.seek), 0x80, SEEK_END)))
+        index = np.zeros(len(self.sizes), ENTRY)
+        for field, values in (("doc_id", self.doc_ids), ("null", self.nulls), ("size", self.sizes)):
+            index[field] = np.frombuffer(values, values.typecode)
+        self.out.write(skippable(INDEX_MAGIC, index.tobytes()))
+        frames = len(self.seek) // 3
+        self.out.write(skippable(SEEK_MAGIC, np.array(self.seek, "<u4").tobytes() + struct.pack("<IBI", frames, 0x80, SEEK_END)))
         self.out.close()
+        return {"documents": len(index), "tokens": self.total}
 
 
 class IdReader:
@@ -132,10 +145,10 @@ class IdReader:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> tuple[str, DataFrame]:
-    """Writes the ids of all texts in ascending id order; returns the folder and a frame (file, part, documents, tokens).
+    """Writes the ids of all texts in ascending id order; returns the folder and a frame (file, part, number, documents, tokens).
 
-    The rows are dealt out by ranges of the id, so each task writes one file, block by block; what a task holds doesn't
-    grow with its input. ``tokenizer`` is the path of a tokenizers file on the driver, which goes along with the tasks
+    The rows are dealt out by ranges of the id, and each task writes its range block by block into files of about ``ROLL_BYTES``
+    or ``ROLL_DOCUMENTS``, numbered in order, so what a task holds is bounded by a file's index and one text. ``tokenizer`` is the path of a tokenizers file on the driver, which goes along with the tasks
     (under 3 MB). Ids are kept in 2 bytes if the vocabulary allows, else in 4.
     """
     spark = docs.sparkSession
@@ -145,24 +158,31 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     folder = folder or fresh_path(spark, "token-files")
 
     def write(batches):
-        known, out, part = encoder(shared.value), None, TaskContext.get().partitionId()
+        known, out, part, number = encoder(shared.value), None, TaskContext.get().partitionId(), 0
         kind = "<u2" if max(end_id, known.tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
-        name = f"part-{part:06d}.ids.zst"
+
+        def finish() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"file": name, "part": part, "number": number} | out.close()])
+
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for s in by_text(texts):
-                out = out or IdWriter(folder, name, kind, level)
                 flat, counts = known.encode(texts[s])
                 ends = counts.cumsum()
                 for doc, end, n in zip(ids[s], ends.tolist(), counts.tolist(), strict=True):
+                    if out and out.full():
+                        yield finish()
+                        out, number = None, number + 1
+                    if out is None:
+                        name = f"part-{part:06d}-{number:05d}.ids.zst"
+                        out = IdWriter(folder, name, kind, level)
                     out.add(doc, np.append(flat[end - n : end], np.uint32(end_id)))
         if out:
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "part": part, "documents": len(out.index), "tokens": out.total}])
+            yield finish()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return folder, rows.mapInArrow(write, "file string, part long, documents long, tokens long")
+    return folder, rows.mapInArrow(write, "file string, part long, number long, documents long, tokens long")
 
 
 def read_token_files(spark, folder: str, files: list[tuple[str, int]]) -> DataFrame:
@@ -189,7 +209,7 @@ def token_id_output(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFra
     """Writes the files, then reads every document back. What reaches the driver is a row for each file."""
     folder, written = write_token_files(docs, tokenizer, end_id)
     before, files = 0, []
-    for row in sorted(written.collect(), key=lambda r: r["part"]):
+    for row in sorted(written.collect(), key=lambda r: (r["part"], r["number"])):
         files.append((row["file"], before))
         before += row["tokens"]
     return read_token_files(docs.sparkSession, folder, files)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from roadweave.llm.common import AtomicFile, fresh_path, open_file, partitions, stage
 
 DICT_MAGIC = 0x184D2A5D
+ROLL_BYTES = 1 << 28
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -142,21 +143,29 @@ def decide(pages: DataFrame, least: int) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, least: int = 0, folder: str | None = None, dictionary: int = 32_768, sample: int = 2_000_000, level: int = 6) -> tuple[str, DataFrame]:
-    """Writes the pages (page_id, url, html) to archives, one a task; returns the folder and a frame (file, records)."""
+    """Writes the pages (page_id, url, html) to archives of about ``ROLL_BYTES``; returns the folder and a frame (file, records).
+
+    A task's records are in a fixed order, so a task that runs again writes the same archives.
+    """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     payload: Column = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = stage(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("row", F.monotonically_increasing_id()), "pages")
-    rows = rows.join(stage(decide(rows, least), "revisits"), "row", "left").repartition(partitions(spark), "row").select("page_id", "url", "payload", "refers_to")
+    rows = rows.join(stage(decide(rows, least), "revisits"), "row", "left").repartition(partitions(spark), "row").sortWithinPartitions("row").select("page_id", "url", "payload", "refers_to")
 
     def write(batches):
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.zst"
-        out = None
+        part, number, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page_id, url, body, refers_to = row
-                out = out or WarcWriter(folder, name, dictionary, sample, level)
+                if out is None:
+                    name = f"part-{part:06d}-{number:05d}.warc.zst"
+                    out = WarcWriter(folder, name, dictionary, sample, level)
                 out.add(record(page_id, url, body, payload_digest(body), refers_to, refers_to is not None))
+                if out.out.size >= ROLL_BYTES:
+                    out.close()
+                    yield pa.RecordBatch.from_pylist([{"file": name, "records": out.records}])
+                    out, number = None, number + 1
         if out:
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "records": out.records}])
