@@ -292,22 +292,25 @@ def owned(x: frozenset | None, y: frozenset | None, gid: int) -> bool:
 
 
 def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs (a, b) of rows (gid, i, j, own, cid, n, root, first, parity) of a group: of all in different components, or of each with the first.
+    """Pairs (a, b) of rows (gid, i, j, side, own, cid, n, root, first, parity) of a group: of all in different components, or of each with the first.
 
-    A group and its blocks are rows that stand together, 2 * ``block`` at most; sizes and parities are held against the bound at once,
+    A group and its blocks are rows that stand together, 2 * ``block`` at most. Rows of side 0 are paired with all, those of side 1
+    with side 0 only. Where j is -1, the rows of side 0 stand in every block, and two of them meet in the block that the one
+    with the smaller cid owns. Sizes and parities are held against the bound at once,
     so pairs that can't be links aren't made as rows. ``first`` holds the smallest groups of a class, or null. The least that the
     lists of two classes share is the least group that they share at all; a pair is made there alone, or wherever the lists share none.
     """
 
     def emit(cols, seen):
-        gid, i, j, own, cid, n, root, bits, first_of = cols
+        gid, i, j, side, own, cid, n, root, bits, first_of = cols
         start = np.flatnonzero(np.concatenate(([True], (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         size = np.diff(np.concatenate((start, [len(gid)])))
         left, right, held = [], [], 0
 
         def settle():
             a, b = np.concatenate(left), np.concatenate(right)
-            ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((i[a] == j[a]) | (own[a] != own[b]))
+            meet = np.where(j[a] < 0, (side[b] == 1) | (np.where(cid[a] < cid[b], own[a], own[b]) == i[a]), (i[a] == j[a]) | (own[a] != own[b]))
+            ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & meet
             a, b = a[ok], b[ok]
             _, first = np.unique(np.stack((np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b]))), axis=1, return_index=True)
             a, b = a[first], b[first]
@@ -321,7 +324,7 @@ def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], ["a", "b"])
 
         for s, k in zip(start.tolist(), size.tolist(), strict=True):
-            for x in range(s, s + 1 if star else s + k - 1):
+            for x in range(s, s + 1 if star else s + min(k - 1, int((side[s : s + k] == 0).sum()))):
                 right.append(np.arange(x + 1, s + k))
                 left.append(np.full(s + k - x - 1, x))
                 held += s + k - x - 1
@@ -335,10 +338,10 @@ def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         held = None
         for batch in batches:
-            now = [*(c.to_numpy() for c in batch.columns[:7]), batch.column(7).to_pylist(), [x and frozenset(x) for x in batch.column(8).to_pylist()]]
+            now = [*(c.to_numpy() for c in batch.columns[:8]), batch.column(8).to_pylist(), [x and frozenset(x) for x in batch.column(9).to_pylist()]]
             if not len(now[0]):
                 continue
-            held = now if held is None else [*(np.concatenate((x, y)) for x, y in zip(held[:7], now[:7], strict=True)), held[7] + now[7], held[8] + now[8]]
+            held = now if held is None else [*(np.concatenate((x, y)) for x, y in zip(held[:8], now[:8], strict=True)), held[8] + now[8], held[9] + now[9]]
             same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
             end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if end:
@@ -347,7 +350,7 @@ def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
         if held is not None:
             yield from emit(held, seen)
 
-    rows = rows.select("gid", "i", "j", "own", "cid", "n", "root", "parity", "first").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "own", "cid")
+    rows = rows.select("gid", "i", "j", "side", "own", "cid", "n", "root", "parity", "first").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "side", "own", "cid")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -369,16 +372,26 @@ def stars(members: DataFrame, roots: DataFrame, percent: int, turn: int, block:
     rest = rest.groupBy("cid", "head").agg(F.min("gid").alias("gid"), F.min_by(F.struct("blocks", "n", "root", "parity"), "gid").alias("x")).select("cid", "gid", "x.*")
     rest = rest.select("gid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("own"), "cid", "n", "root", "parity")
     heads = heads.select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("own"), "h.*")
-    return compared(rest.unionByName(heads).withColumns({"j": F.col("i"), "first": F.lit(None).cast("array<long>")}), percent, star=True)
+    return compared(rest.unionByName(heads).withColumns({"j": F.col("i"), "side": F.lit(0), "first": F.lit(None).cast("array<long>")}), percent, star=True)
 
 
 def unsettled(members: DataFrame, roots: DataFrame, percent: int, block: int = 1000, listed: int = 32) -> DataFrame:
-    """All pairs of a group that are in different components and that sizes and parities leave possible, in pairs of blocks."""
+    """All pairs of a group that are in different components and that sizes and parities leave possible.
+
+    Mostly one component holds nearly all of a large group. Where at most ``block`` classes are outside its largest component,
+    they alone go to all of its blocks, so work grows with them and not with the square of the group; other groups are
+    compared in pairs of blocks.
+    """
     rows = stage(open_members(members, roots, block), "open")
     lists = rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, listed).alias("first"))
-    rows = rows.join(lists, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return compared(rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}), percent, star=False)
+    sizes = rows.groupBy("gid", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("gid").agg(F.max_by("root", F.struct("size", "root")).alias("main"), (F.sum("size") - F.max("size")).alias("outside"))
+    rows = rows.join(lists, "cid").join(main, "gid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    inside = (F.col("outside") <= block) & (F.col("root") == F.col("main"))
+    rows = rows.withColumn("other", F.explode(F.when(inside, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    few = F.col("outside") <= block
+    at = {"i": F.when(few, F.col("other")).otherwise(F.least("own", "other")), "j": F.when(few, F.lit(-1)).otherwise(F.greatest("own", "other")), "side": inside.cast("int")}
+    return compared(rows.withColumns(at), percent, star=False)
 
 
 def release(spark: SparkSession) -> None:

@@ -48,7 +48,7 @@ class Encoder:
     text is.
     """
 
-    def __init__(self, source: str, most: int = 700_000, block: int = 1_000_000):
+    def __init__(self, source: str, most: int = 400_000, block: int = 1_000_000):
         threads_off()
         from tokenizers import Tokenizer
 
@@ -131,7 +131,7 @@ class Encoder:
             for part in self.chunks(text):
                 keys += part
                 owners.append((i, len(part)))
-                if len(keys) >= 400_000:
+                if len(keys) >= 250_000:
                     out.append(self.flush(keys, owners, counts))
                     keys, owners = [], []
         out.append(self.flush(keys, owners, counts))
