@@ -113,8 +113,8 @@ def set_hash(found: np.ndarray) -> tuple[int, int]:
 
 
 def parity(found: np.ndarray) -> bytes:
-    """Parities of the hashes by place. Bits number a power of two, twice the size at least, from 64 to 8192."""
-    bits = 1 << min(13, max(6, (2 * len(found) - 1).bit_length()))
+    """Parities of the hashes by place. Bits number a power of two, the size at least, from 64 to 8192."""
+    bits = 1 << min(13, max(6, (len(found) - 1).bit_length()))
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -291,8 +291,10 @@ def owned(x: frozenset | None, y: frozenset | None, gid: int) -> bool:
     return x is None or y is None or min(x & y, default=gid) == gid
 
 
-def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs (a, b) of rows (gid, i, j, side, own, cid, n, root, first, parity) of a group: of all in different components, or of each with the first.
+def compared(rows: DataFrame, sketches: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Pairs (a, b) of rows (gid, i, j, side, own, cid, n, root, first) of a group: of all in different components, or of each with the first.
+
+    ``sketches`` has the parity of every cid, which joins the rows here, so it moves once.
 
     A group and its blocks are rows that stand together, 2 * ``block`` at most. Rows of side 0 are paired with all, those of side 1
     with side 0 only. Where j is -1, the rows of side 0 stand in every block, and two of them meet in the block that the one
@@ -350,7 +352,7 @@ def compared(rows: DataFrame, percent: int, star: bool) -> DataFrame:
         if held is not None:
             yield from emit(held, seen)
 
-    rows = rows.select("gid", "i", "j", "side", "own", "cid", "n", "root", "parity", "first").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "side", "own", "cid")
+    rows = rows.join(sketches, "cid").select("gid", "i", "j", "side", "own", "cid", "n", "root", "parity", "first").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "side", "own", "cid")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -361,21 +363,21 @@ def open_members(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     return members.join(several.select("gid", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "gid")
 
 
-def stars(members: DataFrame, roots: DataFrame, percent: int, turn: int, block: int = 1000) -> DataFrame:
+def stars(members: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int, turn: int, block: int = 1000) -> DataFrame:
     """Each class of a group with one that a hash of the turn chooses; the members of a large group are dealt out, that one goes to all.
 
     A class that has the same one in several groups meets it in the least of them.
     """
     rows = open_members(members, roots, block)
-    heads = rows.groupBy("gid", "blocks").agg(F.min_by(F.struct("cid", "n", "root", "parity"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("h"))
+    heads = rows.groupBy("gid", "blocks").agg(F.min_by(F.struct("cid", "n", "root"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("h"))
     rest = rows.join(heads.select("gid", F.col("h.cid").alias("head")), "gid").where("cid != head")
-    rest = rest.groupBy("cid", "head").agg(F.min("gid").alias("gid"), F.min_by(F.struct("blocks", "n", "root", "parity"), "gid").alias("x")).select("cid", "gid", "x.*")
-    rest = rest.select("gid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("own"), "cid", "n", "root", "parity")
+    rest = rest.groupBy("cid", "head").agg(F.min("gid").alias("gid"), F.min_by(F.struct("blocks", "n", "root"), "gid").alias("x")).select("cid", "gid", "x.*")
+    rest = rest.select("gid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i"), F.lit(1).alias("own"), "cid", "n", "root")
     heads = heads.select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("own"), "h.*")
-    return compared(rest.unionByName(heads).withColumns({"j": F.col("i"), "side": F.lit(0), "first": F.lit(None).cast("array<long>")}), percent, star=True)
+    return compared(rest.unionByName(heads).withColumns({"j": F.col("i"), "side": F.lit(0), "first": F.lit(None).cast("array<long>")}), sketches, percent, star=True)
 
 
-def unsettled(members: DataFrame, roots: DataFrame, percent: int, block: int = 1000, listed: int = 32) -> DataFrame:
+def unsettled(members: DataFrame, sketches: DataFrame, roots: DataFrame, percent: int, block: int = 1000, listed: int = 32) -> DataFrame:
     """All pairs of a group that are in different components and that sizes and parities leave possible.
 
     Mostly one component holds nearly all of a large group. Where at most ``block`` classes are outside its largest component,
@@ -391,7 +393,7 @@ def unsettled(members: DataFrame, roots: DataFrame, percent: int, block: int = 1
     rows = rows.withColumn("other", F.explode(F.when(inside, F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     few = F.col("outside") <= block
     at = {"i": F.when(few, F.col("other")).otherwise(F.least("own", "other")), "j": F.when(few, F.lit(-1)).otherwise(F.greatest("own", "other")), "side": inside.cast("int")}
-    return compared(rows.withColumns(at), percent, star=False)
+    return compared(rows.withColumns(at), sketches, percent, star=False)
 
 
 def release(spark: SparkSession) -> None:
@@ -409,14 +411,15 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, turns:
     classes = stage(classes.withColumns({"cid": F.monotonically_increasing_id(), "ref": F.col("h1").bitwiseAND(F.lit((1 << 62) - 1))}), "classes")
     groups = key_groups(rows, n_words, percent)
     release(spark)
-    members = stage(groups.join(classes.select("ref", "cid", "n", "parity"), "ref").drop("ref"), "members")
+    members = stage(groups.join(classes.select("ref", "cid", "n"), "ref").drop("ref"), "members")
+    sketches = classes.select("cid", "parity")
     links = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "u long, root long")
     for turn in range(turns):
-        links = links.unionByName(verified(stars(members, roots, percent, turn), rows, classes, n_words, percent))
+        links = links.unionByName(verified(stars(members, sketches, roots, percent, turn), rows, classes, n_words, percent))
         roots = stage(components(links), "roots")
         release(spark)
-    more = verified(unsettled(members, roots, percent), rows, classes, n_words, percent)
+    more = verified(unsettled(members, sketches, roots, percent), rows, classes, n_words, percent)
     release(spark)
     roots = components(links.unionByName(more))
     named = classes.join(roots.withColumnRenamed("u", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
