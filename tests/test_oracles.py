@@ -2,7 +2,7 @@
 
 import pytest
 
-from roadweave.plans import catalog
+from roadweave.plans import registry
 from tests.oracle import connect, rows_of, spark_rows
 
 SF = "/root/testdata/sf0.001"
@@ -13,6 +13,6 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_matches(spark, duck, name):
-    assert spark_rows(catalog.QUERIES[name](spark, SF)) == rows_of(duck, catalog.ORACLES[name])
+    assert spark_rows(registry.QUERIES[name](spark, SF)) == rows_of(duck, registry.ORACLES[name])
