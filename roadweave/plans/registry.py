@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from roadweave.plans import catalog, shapes
+from roadweave.plans import catalog, codecs, shapes
 
-MODULES = (catalog, shapes)
+MODULES = (catalog, shapes, codecs)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
