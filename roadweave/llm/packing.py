@@ -29,16 +29,18 @@ from roadweave.llm.tokens import by_text
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", kind: str = "<u4") -> DataFrame:
     """The ids of each text and then ``end_id``, cut into pieces of ``capacity``; written, so a text is encoded once.
 
-    ``ids`` holds little-endian unsigned 32-bit integers. ``uid`` is a number of the piece that stays as it was written.
+    ``ids`` holds little-endian unsigned integers, of 32 bits or, with ``kind`` ``<u2`` and a vocabulary that allows it, of 16. ``uid`` is a number of the piece that stays as it was written.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
     shared = spark.sparkContext.broadcast(source)
     end = np.array([end_id], "<u4")
+    if np.dtype(kind).itemsize < 4 and max(end_id, encoder(source).tokenizer.get_vocab_size() - 1) >= 1 << 16:
+        raise ValueError("the vocabulary needs ids of 32 bits")
 
     def cut(batches):
         known = encoder(shared.value)
@@ -48,7 +50,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
                 flat, counts = known.encode(texts[s])
                 out: list[tuple] = []
                 for doc, last, n in zip(ids[s], counts.cumsum().tolist(), counts.tolist(), strict=True):
-                    own = np.append(flat[last - n : last], end).astype("<u4")
+                    own = np.append(flat[last - n : last], end).astype(kind)
                     out += [(doc, k // capacity, k, len(p := own[k : k + capacity]), p.tobytes()) for k in range(0, len(own), capacity)]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import partitions, stage
+from roadweave.llm.common import discard, partitions, stage
 from roadweave.llm.components import components
 from roadweave.llm.shingles import PLACE, Words, mix, shingle_sets
 
@@ -217,7 +217,10 @@ def key_groups(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
 
     keys = docs.mapInArrow(emit, "key long, ref long")
     keys = keys.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    return stage(stage(keys.mapInArrow(group, "gid long, ref long"), "groups").distinct(), "groups")
+    every = stage(keys.mapInArrow(group, "gid long, ref long"), "groups")
+    groups = stage(every.distinct(), "groups")
+    discard(every)
+    return groups
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_words: int, few: int = 500_000) -> DataFrame:
@@ -236,7 +239,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_words: int,
 
     sets = rows.mapInArrow(run, "n long, h1 long, h2 long, items binary")
     sets = sets.join(F.broadcast(wanted.select(*CLASS, "cid")) if wanted.count() <= few else wanted.select(*CLASS, "cid"), CLASS)
-    return stage(sets.select("cid", "items").dropDuplicates(["cid"]), "sets")
+    sets = stage(sets.select("cid", "items").dropDuplicates(["cid"]), "sets")
+    discard(wanted)
+    return sets
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -259,7 +264,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stage(rows.mapInArrow(run, "u long, v long"), "links")
+    links = stage(rows.mapInArrow(run, "u long, v long"), "links")
+    discard(pairs, sets)
+    return links
 
 
 def folded(rows: list[bytes], size: int) -> np.ndarray:
@@ -412,6 +419,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, turns:
     groups = key_groups(rows, n_words, percent)
     release(spark)
     members = stage(groups.join(classes.select("ref", "cid", "n"), "ref").drop("ref"), "members")
+    discard(groups)
     sketches = classes.select("cid", "parity")
     links = spark.createDataFrame([], "u long, v long")
     roots = spark.createDataFrame([], "u long, root long")
@@ -425,5 +433,6 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, turns:
     named = classes.join(roots.withColumnRenamed("u", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stage(named.join(least, "root").select(*CLASS, "component_id"), "named")
+    discard(members, classes)
     linked = seen.join(named, CLASS, "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
