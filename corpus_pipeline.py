@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens: for each piece its document, ids, sequence and place there."""
-    pieces = packing.cut_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    """Sequences of at most 4096 tokens: for each piece its document, ids (little-endian, 16 bits: the vocabulary has 49k), sequence and place there."""
+    pieces = packing.cut_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, kind="<u2")
     plan = packing.pack(pieces.drop("ids"), capacity=4096)
     return plan.join(pieces.select("uid", "ids"), "uid").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
