@@ -97,7 +97,7 @@ def clip_sql() -> str:
 
 CROSS = "((s.bx - s.ax) * (t.ay - s.ay) - (t.ax - s.ax) * (s.b_y - s.ay)) * ((s.bx - s.ax) * (t.b_y - s.ay) - (t.bx - s.ax) * (s.b_y - s.ay)) < 0 AND ((t.bx - t.ax) * (s.ay - t.ay) - (s.ax - t.ax) * (t.b_y - t.ay)) * ((t.bx - t.ax) * (s.b_y - t.ay) - (s.bx - t.ax) * (t.b_y - t.ay)) < 0"
 WIND = f"CASE WHEN ay <= {MIDDLE[1]!r} AND b_y > {MIDDLE[1]!r} AND (bx - ax) * ({MIDDLE[1]!r} - ay) > ({MIDDLE[0]!r} - ax) * (b_y - ay) THEN 1 WHEN ay > {MIDDLE[1]!r} AND b_y <= {MIDDLE[1]!r} AND (bx - ax) * ({MIDDLE[1]!r} - ay) < ({MIDDLE[0]!r} - ax) * (b_y - ay) THEN -1 ELSE 0 END"
-MID = S.point(*MIDDLE)
+MID = lambda: S.point(*MIDDLE)
 HALF = "q.i < 8"
 FLAT = "sqrt(pow(p.x - (s.ax + t * (s.bx - s.ax)), 2) + pow(p.y - (s.ay + t * (s.b_y - s.ay)), 2))"
 FOOT = "CASE WHEN s.ax = s.bx AND s.ay = s.b_y THEN 0.0 ELSE least(1.0, greatest(0.0, ((p.x - s.ax) * (s.bx - s.ax) + (p.y - s.ay) * (s.b_y - s.ay)) / (pow(s.bx - s.ax, 2) + pow(s.b_y - s.ay, 2)))) END"
@@ -127,12 +127,12 @@ PROGRAMS = {
     ),
     # GEO5, GEO6, SNP2
     "project_on_shape": (
-        partial(over_shapes, columns=lambda p: [S.let(S.snapped(MID, p), lambda s: F.struct(whole(s["distance"], 1000).alias("mm"), s["segment"].cast("long").alias("segment"), whole(S.percent_along(p, s), 1e6).alias("percent"))).alias("s")]),
+        partial(over_shapes, columns=lambda p: [S.let(S.snapped(MID(), p), lambda s: F.struct(whole(s["distance"], 1000).alias("mm"), s["segment"].cast("long").alias("segment"), whole(S.percent_along(p, s), 1e6).alias("percent"))).alias("s")]),
         f"{SEG}, {near(MIDDLE)}, best AS (SELECT *, row_number() OVER (PARTITION BY shape ORDER BY d, i) AS rn, sum(m) OVER (PARTITION BY shape ORDER BY i) - m AS before, sum(m) OVER (PARTITION BY shape) AS total FROM pd) SELECT shape, {fix('d', '1000')} AS mm, CAST(i AS BIGINT) AS segment, {fix('(before + t * m) / total', '1e6')} AS percent FROM best WHERE rn = 1",
     ),
     # GEO7, GEO8, JON10
     "point_in_shape": (
-        partial(over_shapes, columns=lambda p: [S.winding(MID, p).cast("long").alias("winding"), S.even_odd(MID, p).cast("int").alias("odd")]),
+        partial(over_shapes, columns=lambda p: [S.winding(MID(), p).cast("long").alias("winding"), S.even_odd(MID(), p).cast("int").alias("odd")]),
         f"{RING} SELECT shape, CAST(sum({WIND}) AS BIGINT) AS winding, CAST(sum(CASE WHEN (ay > {MIDDLE[1]!r}) <> (b_y > {MIDDLE[1]!r}) AND {MIDDLE[0]!r} < (bx - ax) * ({MIDDLE[1]!r} - ay) / (b_y - ay) + ax THEN 1 ELSE 0 END) % 2 AS INT) AS odd FROM seg GROUP BY shape",
     ),
     # GEO9
