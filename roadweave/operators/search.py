@@ -1,4 +1,4 @@
-"""Batched searches over edge tables: every origin at once, one relaxation a round, lineage cut in the shared folder."""
+"""Batched searches over edge tables: every origin at once, until no label improves, lineage cut in the shared folder."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -23,22 +25,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def relax(seeds: DataFrame, edges: DataFrame, rounds: int, every: int = 2) -> DataFrame:
-    """seeds (src, node), edges (u, v, w) -> (src, node, cost, dist): least cost within ``rounds`` edges, ties to fewer edges.
-
-    A round joins the labels improved in the round before with the edges and keeps the least of old and new, which
-    combines on the map side; labels and edges are partitioned alike, so the edges' shuffle is reused.
-    """
-    labels = seeds.select("src", "node", F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("dist"))
-    for k in range(rounds):
-        step = labels.join(edges, labels["node"] == edges["u"]).select("src", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("dist") + 1).alias("dist"))
-        least = F.min(F.struct("cost", "dist")).alias("l")
-        labels = labels.unionByName(step).groupBy("src", "node").agg(least).select("src", "node", "l.cost", "l.dist")
-        if k % every == every - 1 or k == rounds - 1:
-            labels = cut(labels, "labels")
-    return labels
-
-
 def converge(seeds: DataFrame, edges: DataFrame, tile: int = 2500, block: int = 64) -> DataFrame:
     """seeds (src, node), edges (u, v, w >= 0) -> (src, node, cost, dist): least cost without a bound on edges, ties to fewer edges.
 
@@ -85,12 +71,3 @@ def converge(seeds: DataFrame, edges: DataFrame, tile: int = 2500, block: int =
         labels = cut(labels.groupBy("tile", "block").cogroup(steps.groupBy("tile", "block")).applyInPandas(settle, schema), "labels")
         if labels.where("hot").isEmpty():
             return labels.select("src", "node", "cost", "dist")
-
-
-def relax_sql(rounds: int, seeds: str, edges: str) -> str:
-    """The same rounds as a chain of common table expressions."""
-    out = [f"l0 AS (SELECT src, node, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS dist FROM ({seeds}) s)"]
-    for k in range(rounds):
-        both = f"SELECT src, node, cost, dist FROM l{k} UNION ALL SELECT src, e.v, cost + e.w, dist + 1 FROM l{k} JOIN ({edges}) e ON e.u = l{k}.node"
-        out.append(f"l{k + 1} AS MATERIALIZED (SELECT src, node, cost, min(dist) AS dist FROM (SELECT *, min(cost) OVER (PARTITION BY src, node) AS m FROM ({both}) b) x WHERE cost = m GROUP BY src, node, cost)")
-    return ", ".join(out)

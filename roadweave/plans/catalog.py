@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.geo import METRES_PER_DEGREE, bearing, fixed, haversine, planar, tile_id, turn_degree, turn_type
-from roadweave.operators.search import converge, cut, relax, relax_sql
+from roadweave.operators.search import converge, cut
 from roadweave.plans import derive
 from roadweave.plans.derive import DEPARTURES, EDGES, HOPS, NODES, TRACES, idiv
 
@@ -74,10 +74,6 @@ SQL: dict[str, str] = {
     "level_assignment": f"WITH {EDGES}, l AS (SELECT u AS gid, CASE WHEN road_class <= 2 THEN 0 WHEN road_class <= 5 THEN 1 ELSE 2 END AS level FROM edges) SELECT gid, level, count(*) AS n FROM l GROUP BY gid, level",
     # JON7, GEO27, GEO28
     "edge_bins": f"WITH {EDGES} SELECT eid, {tile_id('lon_u', 'lat_u', 0.25)} AS tile, {tile_id('lon_u', 'lat_u', 0.05)} AS bin FROM edges",
-    # JON8, SNP1, SNP2, WIN3
-    "nearest_edge_knn": f"WITH {EDGES}, {TRACES}, near AS (SELECT t.event_id, e.eid, {fixed(planar('5.0E0 + t.x * 0.001E0 + 0.0003E0', '52.0E0 + t.y * 0.001E0 + 0.0002E0', 'e.lon_u', 'e.lat_u'), 1)} AS d2 FROM traces t JOIN edges e ON e.u = t.y * 50 + t.x), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d2, eid) AS rank FROM near) SELECT event_id, eid, d2, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 3",
-    # JON9, MM1, MM2
-    "trace_emission": f"WITH {NODES}, {TRACES} SELECT t.event_id, n.gid, {fixed('(pow(t.x + 0.3E0 - n.c, 2) + pow(t.y + 0.2E0 - n.r, 2)) / (2 * 4.07E0 * 4.07E0)', 1000000)} AS emission FROM traces t JOIN nodes n ON n.gid = t.y * 50 + t.x",
     # JON10, GEO7, GEO8, ETL10
     "admin_point_in_polygon": f"WITH {NODES}, z AS (SELECT n_nationkey, (n_nationkey % 5) * 10 AS c0, {idiv('n_nationkey', 5)} * 8 AS r0, n_regionkey FROM nation) SELECT n.gid, z.n_nationkey, z.n_regionkey FROM nodes n JOIN z ON {idiv('n.c', 10)} * 10 = z.c0 AND {idiv('n.r', 8)} * 8 = z.r0 WHERE (n.c - z.c0) + (n.r - z.r0) <= 12",
     # JON11, WIN11
@@ -88,14 +84,8 @@ SQL: dict[str, str] = {
     "stop_trip_route": f"WITH {DEPARTURES} SELECT s.s_nationkey AS agency, d.line_id, count(DISTINCT d.trip) AS trips, count(DISTINCT d.stop) AS stops FROM departures d JOIN supplier s ON s.s_suppkey = d.line_id GROUP BY s.s_nationkey, d.line_id",
     # AGG1
     "min_label_per_node": f"WITH {HOPS}, k AS (SELECT u, v, w, row_number() OVER (PARTITION BY v ORDER BY w, u) AS rn FROM hops) SELECT v, u AS pred, w FROM k WHERE rn = 1",
-    # AGG2, GRF11
-    "isochrone_raster": f"WITH {EDGES}, reach AS (SELECT gid, abs(r - 20) + abs(c - 25) AS steps, r, c FROM nodes) SELECT {idiv('r', 5)} AS cell_row, {idiv('c', 5)} AS cell_col, min(steps) AS minutes, min(steps * 100) AS metres FROM reach WHERE steps <= 18 GROUP BY {idiv('r', 5)}, {idiv('c', 5)}",
     # AGG3
-    "node_density": f"WITH {EDGES}, cells AS (SELECT {idiv('u', 250)} AS cr, {idiv('u % 50', 5)} AS cc, CAST(sum(length_m) AS BIGINT) AS m FROM edges GROUP BY {idiv('u', 250)}, {idiv('u % 50', 5)}) SELECT a.cr, a.cc, CAST(least(15, floor(sum(b.m) * 0.7E0 / 10000 + 0.5E0)) AS BIGINT) AS density FROM cells a JOIN cells b ON abs(a.cr - b.cr) <= 1 AND abs(a.cc - b.cc) <= 1 GROUP BY a.cr, a.cc",
-    # AGG5, ELV1
-    "weighted_grade": f"WITH {EDGES}, g AS (SELECT u, greatest(-10, least(15, grade - 8)) AS g FROM edges) SELECT u, {fixed('avg(CASE WHEN g > 0 THEN 1 + g / 7.0E0 ELSE 1 + g / 17.0E0 END)')} AS weighted, max(g) AS max_up, min(g) AS max_down FROM g GROUP BY u",
-    # AGG4, GEO3
-    "curvature": f"WITH {TRACES}, w AS (SELECT user_id, seq, x, y, lag(x) OVER (PARTITION BY user_id ORDER BY seq) AS x0, lag(y) OVER (PARTITION BY user_id ORDER BY seq) AS y0, lead(x) OVER (PARTITION BY user_id ORDER BY seq) AS x1, lead(y) OVER (PARTITION BY user_id ORDER BY seq) AS y1 FROM traces) SELECT user_id, seq, abs((x - x0) * (y1 - y0) - (x1 - x0) * (y - y0)) AS twice_area FROM w WHERE x0 IS NOT NULL AND x1 IS NOT NULL",
+    "node_density": f"WITH {EDGES}, cells AS (SELECT {idiv('u', 250)} AS cr, {idiv('u % 50', 5)} AS cc, CAST(sum(length_m) AS BIGINT) AS m FROM edges GROUP BY {idiv('u', 250)}, {idiv('u % 50', 5)}), spread AS (SELECT cr + dr AS cr, cc + dc AS cc, m FROM cells CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) d(dr, dc)), near AS (SELECT cr, cc, sum(m) AS m FROM spread GROUP BY cr, cc) SELECT a.cr, a.cc, CAST(least(15, floor(b.m * 0.7E0 / 10000 + 0.5E0)) AS BIGINT) AS density FROM cells a JOIN near b ON a.cr = b.cr AND a.cc = b.cc",
     # AGG6, WIN1, WIN4, CST20
     "recost_path": f"WITH {HOPS} SELECT l_orderkey, l_linenumber, CAST(sum(q) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS elapsed FROM lines",
     # AGG8, AGG9, AGG10, AGG14, SNK19
@@ -122,10 +112,8 @@ SQL: dict[str, str] = {
     "edges_in_bbox": f"WITH {EDGES} SELECT DISTINCT eid, u, v FROM edges WHERE lon_u BETWEEN 5.01E0 AND 5.02E0 AND lat_u BETWEEN 52.005E0 AND 52.02E0",
     # GEO1, GEO2, GEO10
     "edge_geometry": f"WITH {EDGES} SELECT eid, {fixed(haversine('lon_u', 'lat_u', 'lon_v', 'lat_v'))} AS millimetres, {fixed(bearing('lon_u', 'lat_u', 'lon_v', 'lat_v'))} AS millidegrees, {fixed(planar('lon_u', 'lat_u', 'lon_v', 'lat_v'))} AS squared FROM edges",
-    # GEO9
-    "polygon_area": f"WITH {TRACES}, w AS (SELECT user_id, x, y, lead(x) OVER (PARTITION BY user_id ORDER BY seq) AS x1, lead(y) OVER (PARTITION BY user_id ORDER BY seq) AS y1 FROM traces) SELECT user_id, CAST(sum(x * y1 - x1 * y) AS BIGINT) AS twice_area FROM w WHERE x1 IS NOT NULL GROUP BY user_id",
     # GEO26
-    "mercator_pixels": f"WITH {NODES} SELECT gid, CAST(floor((lon + 180) / 360 * 65536 * 4096) AS BIGINT) AS px, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 65536 * 64) AS BIGINT) AS py FROM nodes",
+    "mercator_pixels": f"WITH {NODES} SELECT gid, CAST(floor((lon + 180) / 360 * 65536 * 4096) AS BIGINT) AS px, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 65536 * 4096) AS BIGINT) AS py FROM nodes",
     # GEO13
     "relative_direction": f"WITH {PAIRS}, t AS (SELECT e1, e2, {turn_degree('h1', 'h2')} AS degree FROM pairs) SELECT e1, e2, CASE WHEN degree > 329 OR degree < 31 THEN 'straight' WHEN degree < 160 THEN 'right' WHEN degree <= 200 THEN 'reverse' ELSE 'left' END AS direction FROM t",
     # STR6, STR7, STR8, STR12, GRF25
@@ -156,67 +144,7 @@ SQL: dict[str, str] = {
     "transition_cost_match": f"WITH {TRACES}, w AS (SELECT user_id, seq, x, y, lag(x) OVER (PARTITION BY user_id ORDER BY seq) AS x0, lag(y) OVER (PARTITION BY user_id ORDER BY seq) AS y0 FROM traces) SELECT user_id, seq, {fixed('abs(abs(x - x0) + abs(y - y0) - sqrt(pow(x - x0, 2) + pow(y - y0, 2))) / 3.0E0', 1000000)} AS cost FROM w WHERE x0 IS NOT NULL",
 }
 
-SEEDS = "SELECT gid AS src, gid AS node FROM nodes WHERE gid % 500 = 0"
 LATTICE = "SELECT u, v, cost_ms AS w FROM edges"
-ROUNDS = 8
-
-
-def labels(spark: SparkSession, sf_dir: str, reverse: bool = False) -> DataFrame:
-    edges = derive.run(spark, sf_dir, f"WITH {EDGES} SELECT u, v, cost_ms AS w FROM edges")
-    seeds = derive.run(spark, sf_dir, f"WITH {NODES} {SEEDS}")
-    return relax(seeds, edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w") if reverse else edges, ROUNDS)
-
-
-def sssp_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1, GRF2, GRF16, EXT3
-    return labels(spark, sf_dir).select("src", "node", "cost", F.col("dist").alias("hops"))
-
-
-def sssp_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1 reverse, GRF21
-    return labels(spark, sf_dir, reverse=True).select("src", "node", "cost", F.col("dist").alias("hops"))
-
-
-def matrix_time_distance(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF7, GRF8, GRF10, SNK2
-    targets = derive.run(spark, sf_dir, f"WITH {NODES} SELECT gid AS dst FROM nodes WHERE gid % 100 = 3")
-    found = labels(spark, sf_dir)
-    return found.join(targets, found["node"] == targets["dst"]).select("src", "dst", F.col("cost").alias("time_ms"), (F.col("dist") * 100).alias("distance_m"))
-
-
-def matrix_nearest_n(spark: SparkSession, sf_dir: str) -> DataFrame:  # SRT5
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("time_ms", "dst"))
-    return matrix_time_distance(spark, sf_dir).withColumn("rank", rank.cast("long")).where("rank <= 2").select("src", "dst", "time_ms", "rank")
-
-
-def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:  # AGG7, GRF17
-    return labels(spark, sf_dir).groupBy("src").agg(F.least(F.count("*"), F.lit(50)).alias("reach"))
-
-
-def bidirectional_meet(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF3, JON15
-    forward, back = labels(spark, sf_dir), labels(spark, sf_dir, reverse=True)
-    both = forward.select("src", "node", "cost").join(back.select(F.col("src").alias("dst"), "node", F.col("cost").alias("rest")), "node").where("src <> dst")
-    return both.groupBy("src", "dst").agg(F.min(F.col("cost") + F.col("rest")).alias("cost"))
-
-
-def centroid_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF14, SET6
-    found = labels(spark, sf_dir).groupBy("node").agg(F.count_distinct("src").alias("origins"), F.sum("cost").alias("total"))
-    return found.where("origins >= 1").select("node", "origins", "total")
-
-
-_LABELS = f"WITH {EDGES}, {relax_sql(ROUNDS, SEEDS, LATTICE)}"
-_BACK = relax_sql(ROUNDS, SEEDS, "SELECT v AS u, u AS v, cost_ms AS w FROM edges").replace("l0", "b0")
-for _k in range(ROUNDS, 0, -1):
-    _BACK = _BACK.replace(f"l{_k} ", f"b{_k} ").replace(f"l{_k}.", f"b{_k}.")
-_MATRIX = f"SELECT src, node AS dst, cost AS time_ms, dist * 100 AS distance_m FROM l{ROUNDS} WHERE node % 100 = 3"
-PROGRAMS = {
-    "sssp_bounded": (sssp_bounded, f"{_LABELS} SELECT src, node, cost, dist AS hops FROM l{ROUNDS}"),
-    "sssp_reverse": (sssp_reverse, f"WITH {EDGES}, {relax_sql(ROUNDS, SEEDS, 'SELECT v AS u, u AS v, cost_ms AS w FROM edges')} SELECT src, node, cost, dist AS hops FROM l{ROUNDS}"),
-    "matrix_time_distance": (matrix_time_distance, f"{_LABELS} {_MATRIX}"),
-    "matrix_nearest_n": (matrix_nearest_n, f"{_LABELS} SELECT src, dst, time_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time_ms, dst) AS rank FROM ({_MATRIX}) m) k WHERE rank <= 2"),
-    "bfs_reach": (bfs_reach, f"{_LABELS} SELECT src, least(count(*), 50) AS reach FROM l{ROUNDS} GROUP BY src"),
-    "bidirectional_meet": (bidirectional_meet, f"{_LABELS}, {_BACK} SELECT f.src, b.src AS dst, min(f.cost + b.cost) AS cost FROM l{ROUNDS} f JOIN b{ROUNDS} b ON f.node = b.node WHERE f.src <> b.src GROUP BY f.src, b.src"),
-    "centroid_convergence": (centroid_convergence, f"{_LABELS} SELECT node, count(DISTINCT src) AS origins, CAST(sum(cost) AS BIGINT) AS total FROM l{ROUNDS} GROUP BY node"),
-}
 
 # The searches without a hop bound: from the lattice node at the corner of every nation's zone to every node.
 DEPOTS = f"SELECT DISTINCT n.gid AS src, n.gid AS node FROM nation z JOIN nodes n ON n.gid = {idiv('z.n_nationkey', 5)} * 400 + (z.n_nationkey % 5) * 10"
@@ -228,39 +156,44 @@ def whole_labels(spark: SparkSession, sf_dir: str, reverse: bool = False) -> Dat
     return converge(seeds, edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w") if reverse else edges)
 
 
-def sssp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1, GRF2, GRF16, EXT3
+def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1, GRF2, GRF16, EXT3
     return whole_labels(spark, sf_dir).select("src", "node", "cost", F.col("dist").alias("hops"))
 
 
-def sssp_reverse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1 reverse, GRF21
+def sssp_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1 reverse, GRF21
     return whole_labels(spark, sf_dir, reverse=True).select("src", "node", "cost", F.col("dist").alias("hops"))
 
 
-def matrix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF7, GRF8, GRF10, SNK2; null where a target can't be reached
+def matrix_time_distance(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF7, GRF8, GRF10, SNK2; null where a target can't be reached
     cells = derive.run(spark, sf_dir, f"WITH {NODES} SELECT s.src, n.gid AS dst FROM ({DEPOTS}) s CROSS JOIN nodes n")
     found = whole_labels(spark, sf_dir).select("src", F.col("node").alias("dst"), F.col("cost").alias("time_ms"), (F.col("dist") * 100).alias("distance_m"))
     return cells.join(found, ["src", "dst"], "left")
 
 
-def matrix_nearest_n_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # SRT5; the origin itself isn't a target
+def matrix_nearest_n(spark: SparkSession, sf_dir: str) -> DataFrame:  # SRT5; the origin itself isn't a target
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("src").orderBy("time_ms", "dst"))
-    return matrix_whole(spark, sf_dir).where("time_ms IS NOT NULL AND src <> dst").withColumn("rank", rank.cast("long")).where("rank <= 2").select("src", "dst", "time_ms", "rank")
+    return matrix_time_distance(spark, sf_dir).where("time_ms IS NOT NULL AND src <> dst").withColumn("rank", rank.cast("long")).where("rank <= 2").select("src", "dst", "time_ms", "rank")
 
 
-def bfs_reach_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # AGG7, GRF17
+def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:  # AGG7, GRF17
     return whole_labels(spark, sf_dir).groupBy("src").agg(F.count("*").alias("reach"))
 
 
-def bidirectional_meet_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF3, JON15
+def bidirectional_meet(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF3, JON15
     forward, back = whole_labels(spark, sf_dir), whole_labels(spark, sf_dir, reverse=True)
     both = forward.select("src", "node", "cost").join(back.select(F.col("src").alias("dst"), "node", F.col("cost").alias("rest")), "node").where("src <> dst")
     return both.groupBy("src", "dst").agg(F.min(F.col("cost") + F.col("rest")).alias("cost"))
 
 
-def centroid_convergence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF14, SET6
-    return whole_labels(spark, sf_dir).groupBy("node").agg(F.count_distinct("src").alias("origins"), F.sum("cost").alias("total"))
+def centroid_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF14, SET6
+    """The nodes that every origin reaches, with what all together spend to meet there; ``best`` marks the cheapest."""
+    labels = cut(whole_labels(spark, sf_dir), "labels")
+    origins = labels.select("src").distinct().count()
+    met = labels.groupBy("node").agg(F.count_distinct("src").alias("origins"), F.sum("cost").alias("total")).where(F.col("origins") == origins)
+    least = met.agg(F.min("total").alias("least"))
+    return met.crossJoin(F.broadcast(least)).select("node", "origins", "total", (F.col("total") == F.col("least")).cast("int").alias("best"))
 
 
 def _until_stable(name: str, edges: str) -> str:
@@ -273,14 +206,14 @@ def _until_stable(name: str, edges: str) -> str:
 _WHOLE = f"WITH RECURSIVE {EDGES}, {_until_stable('l', LATTICE)}"
 _WHOLE_BACK = _until_stable("b", "SELECT v AS u, u AS v, cost_ms AS w FROM edges")
 _CELLS = f"SELECT s.src, n.gid AS dst, l.cost AS time_ms, l.dist * 100 AS distance_m FROM ({DEPOTS}) s CROSS JOIN nodes n LEFT JOIN l ON l.src = s.src AND l.node = n.gid"
-PROGRAMS |= {
-    "sssp_whole": (sssp_whole, f"{_WHOLE} SELECT src, node, cost, dist AS hops FROM l"),
-    "sssp_reverse_whole": (sssp_reverse_whole, f"WITH RECURSIVE {EDGES}, {_WHOLE_BACK} SELECT src, node, cost, dist AS hops FROM b"),
-    "matrix_whole": (matrix_whole, f"{_WHOLE} {_CELLS}"),
-    "matrix_nearest_n_whole": (matrix_nearest_n_whole, f"{_WHOLE} SELECT src, dst, time_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time_ms, dst) AS rank FROM ({_CELLS}) m WHERE time_ms IS NOT NULL AND src <> dst) k WHERE rank <= 2"),
-    "bfs_reach_whole": (bfs_reach_whole, f"{_WHOLE} SELECT src, count(*) AS reach FROM l GROUP BY src"),
-    "bidirectional_meet_whole": (bidirectional_meet_whole, f"{_WHOLE}, {_WHOLE_BACK} SELECT f.src, b.src AS dst, min(f.cost + b.cost) AS cost FROM l f JOIN b ON f.node = b.node WHERE f.src <> b.src GROUP BY f.src, b.src"),
-    "centroid_convergence_whole": (centroid_convergence_whole, f"{_WHOLE} SELECT node, count(DISTINCT src) AS origins, CAST(sum(cost) AS BIGINT) AS total FROM l GROUP BY node"),
+PROGRAMS = {
+    "sssp": (sssp, f"{_WHOLE} SELECT src, node, cost, dist AS hops FROM l"),
+    "sssp_reverse": (sssp_reverse, f"WITH RECURSIVE {EDGES}, {_WHOLE_BACK} SELECT src, node, cost, dist AS hops FROM b"),
+    "matrix_time_distance": (matrix_time_distance, f"{_WHOLE} {_CELLS}"),
+    "matrix_nearest_n": (matrix_nearest_n, f"{_WHOLE} SELECT src, dst, time_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY time_ms, dst) AS rank FROM ({_CELLS}) m WHERE time_ms IS NOT NULL AND src <> dst) k WHERE rank <= 2"),
+    "bfs_reach": (bfs_reach, f"{_WHOLE} SELECT src, count(*) AS reach FROM l GROUP BY src"),
+    "bidirectional_meet": (bidirectional_meet, f"{_WHOLE}, {_WHOLE_BACK} SELECT f.src, b.src AS dst, min(f.cost + b.cost) AS cost FROM l f JOIN b ON f.node = b.node WHERE f.src <> b.src GROUP BY f.src, b.src"),
+    "centroid_convergence": (centroid_convergence, f"{_WHOLE}, m AS (SELECT node, count(DISTINCT src) AS origins, CAST(sum(cost) AS BIGINT) AS total FROM l GROUP BY node) SELECT *, CASE WHEN rank() OVER (ORDER BY total) = 1 THEN 1 ELSE 0 END AS best FROM m WHERE origins = (SELECT count(DISTINCT src) FROM l)"),
 }
 
 # Traces to edges by the distance from the point to the segment; squared metres times 1000.

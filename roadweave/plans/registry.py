@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from roadweave.plans import catalog, codecs, routes, shapes
+from roadweave.plans import catalog, codecs, matching, routes, shapes
 
-MODULES = (catalog, shapes, codecs, routes)
+MODULES = (catalog, shapes, codecs, routes, matching)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -2,7 +2,7 @@
 
 import heapq
 
-from roadweave.operators.search import converge, relax
+from roadweave.operators.search import converge
 
 
 def dijkstra(start, edges):
@@ -32,4 +32,3 @@ def test_converge_is_dijkstra(spark):
     seeds = spark.createDataFrame([(s, s) for s in starts], "src long, node long")
     want = {(s, node, *label) for s in starts for node, label in dijkstra(s, edges).items()}
     assert {tuple(r) for r in converge(seeds, frame, tile=25, block=2).collect()} == want
-    assert {tuple(r) for r in relax(seeds, frame, 8).collect()} != want
