@@ -135,7 +135,8 @@ CARDINALS = ("North", "South", "East", "West", "N", "S", "E", "W", "NE", "NW", "
 def opening_hours(text: Column) -> Column:
     """struct<days, start, end> of each rule of ``Mo-Fr 07:00-09:00; Sa,Su 10:00-12:30``: a mask of days, Sunday lowest, and minutes.
 
-    A rule without days means all of them, one without hours the whole day; a range of days may wrap around the week.
+    A rule without days means all of them, one without hours the whole day; a range of days may wrap around the week. Rules of
+    holidays and rules that say ``off`` hold on no day.
     """
     order = F.array(*(F.lit(d) for d in DAYS))
 
@@ -152,7 +153,8 @@ def opening_hours(text: Column) -> Column:
     def one(rule: Column) -> Column:
         named = F.regexp_extract(rule, r"^([A-Z][a-z][A-Za-z,-]*)", 1)
         parts = F.filter(F.split(named, ","), lambda p: p != "")
-        days = F.when(F.size(parts) == 0, 127).otherwise(F.aggregate(F.transform(parts, mask), F.lit(0), lambda s, b: s.bitwiseOR(b)))
+        days = F.when(F.size(parts) > 0, F.aggregate(F.transform(parts, mask), F.lit(0), lambda s, b: s.bitwiseOR(b))).when(rule.rlike(r"^\d"), 127).otherwise(0)
+        days = F.when(rule.rlike(r"\boff$"), 0).otherwise(days)
         return F.struct(days.alias("days"), F.coalesce(minutes(rule, 0), F.lit(0)).alias("start"), F.coalesce(minutes(rule, 1), F.lit(1440)).alias("end"))
 
     return F.transform(F.filter(F.transform(F.split(text, ";"), lambda r: F.trim(r)), lambda r: r != ""), one)

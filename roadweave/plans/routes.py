@@ -176,7 +176,7 @@ def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF12, SRT7
     blocks = times.withColumn("k", corner).groupBy("src", (F.col("r") - F.col("k.dr")).alias("r"), (F.col("c") - F.col("k.dc")).alias("c"))
     blocks = blocks.agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("k.dr") == 0, F.col("k.dc")).otherwise(3 - F.col("k.dc")).alias("o"), "t", F.col("k.dc").cast("double").alias("x"), F.col("k.dr").cast("double").alias("y")))).alias("q")).where(F.size("q") == 4)
     middle = F.struct(F.lit(9).alias("o"), (F.aggregate("q", F.lit(0.0), lambda s, p: s + p["t"]) / 4).alias("t"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
-    triangles = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(F.col("q")[i], F.col("q")[(i + 1) % 4], F.col("m")))
+    triangles = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(F.get(F.col("q"), i), F.get(F.col("q"), (i + 1) % 4), F.col("m")))
     rows = blocks.withColumn("m", middle).select("src", "r", "c", F.posexplode(triangles).alias("tri", "p"))
 
     def cross(a, b):
@@ -186,7 +186,7 @@ def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF12, SRT7
     p = [F.col("p")[k] for k in range(3)]
     ends = F.filter(F.array(cross(p[0], p[1]), cross(p[1], p[2]), cross(p[2], p[0])), lambda e: e.isNotNull())
     found = rows.withColumn("e", ends).where(F.size("e") == 2)
-    at = lambda k, axis: F.floor(F.col("e")[k][axis] * 1e6 + 0.5).cast("long")
+    at = lambda k, axis: F.floor(F.get(F.col("e"), F.lit(k))[axis] * 1e6 + 0.5).cast("long")
     return found.select("src", "r", "c", F.col("tri").cast("long").alias("tri"), at(0, "x").alias("x0"), at(0, "y").alias("y0"), at(1, "x").alias("x1"), at(1, "y").alias("y1"))
 
 

@@ -109,7 +109,7 @@ REQUEST = f"locations array<{LOCATION}>, sources array<{LOCATION}>, targets arra
 def requests(lines: DataFrame, column: str = "value") -> DataFrame:
     """Requests of a text column, bare JSON or ``-j '<json>'``: the request's fields, its shape decoded, and ``valid``."""
     text = F.regexp_replace(F.trim(F.col(column)), r"^-j\s*'(.*)'$", "$1")
-    found = lines.select(F.from_json(text, REQUEST, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json(text).isNotNull().alias("valid"))
     given = F.transform(F.col("r.shape"), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
     shape = F.when(F.col("r.encoded_polyline").isNotNull(), codecs.decode_polyline(F.col("r.encoded_polyline"))).otherwise(given)
-    return found.select("r.*", "valid").withColumn("shape", shape)
+    found = lines.select(F.from_json(text, REQUEST, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json(text).isNotNull().alias("valid"))
+    return found.select("r.*", "valid", shape.alias("decoded")).drop("shape").withColumnRenamed("decoded", "shape")
