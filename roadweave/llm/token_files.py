@@ -48,7 +48,8 @@ def skippable(magic: int, body: bytes) -> bytes:
 class IdWriter:
     """Writes documents one after another; ``close`` adds the index and the seek table."""
 
-    def __init__(self, folder: str, name: str, kind: str, level: int):
+    def __init__(self, folder: str, name: str, kind: str, level: int, roll: tuple[int, int] = (ROLL_BYTES, ROLL_DOCUMENTS)):
+        self.roll = roll
         self.out, self.kind = AtomicFile(folder, name), np.dtype(kind)
         self.squeeze = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.doc_ids, self.nulls, self.sizes, self.seek = array("q"), array("B"), array("Q"), array("I")
@@ -83,7 +84,7 @@ class IdWriter:
 
     def full(self) -> bool:
         """Whether the next document belongs in another file, so index, seek table and what a reader holds stay small."""
-        return self.out.size >= ROLL_BYTES or len(self.sizes) >= ROLL_DOCUMENTS
+        return self.out.size >= self.roll[0] or len(self.sizes) >= self.roll[1]
 
     def close(self) -> dict:
         self.flush()
@@ -144,11 +145,11 @@ class IdReader:
             k += 1
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", level: int = 3, roll: tuple[int, int] = (ROLL_BYTES, ROLL_DOCUMENTS)) -> tuple[str, DataFrame]:
     """Writes the ids of all texts in ascending id order; returns the folder and a frame (file, part, number, documents, tokens).
 
-    The rows are dealt out by ranges of the id, and each task writes its range block by block into files of about ``ROLL_BYTES``
-    or ``ROLL_DOCUMENTS``, numbered in order, so what a task holds is bounded by a file's index and one text. ``tokenizer`` is the path of a tokenizers file on the driver, which goes along with the tasks
+    The rows are dealt out by ranges of the id, and each task writes its range block by block into files of about ``roll``
+    bytes or documents, numbered in order, so what a task holds is bounded by a file's index and one text. ``tokenizer`` is the path of a tokenizers file on the driver, which goes along with the tasks
     (under 3 MB). Ids are kept in 2 bytes if the vocabulary allows, else in 4.
     """
     spark = docs.sparkSession
@@ -175,7 +176,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                         out, number = None, number + 1
                     if out is None:
                         name = f"part-{part:06d}-{number:05d}.ids.zst"
-                        out = IdWriter(folder, name, kind, level)
+                        out = IdWriter(folder, name, kind, level, roll)
                     out.add(doc, np.append(flat[end - n : end], np.uint32(end_id)))
         if out:
             yield finish()

@@ -64,8 +64,7 @@ def pieces(texts: list[str | None], block: int):
         text = lowered(text)
         for at in range(0, max(1, len(text)), block):
             part = text[at : at + block + ORDERS[-1] - 1]
-            last = at + block >= len(text)
-            held.append((i, text[at:] if last else part, last))
+            held.append((i, part, at + len(part) >= len(text)))
             size += len(part)
             if size >= block:
                 yield held
