@@ -134,19 +134,18 @@ def level_lists(spark: SparkSession, sf_dir: str) -> DataFrame:  # STR10, FLT14
 LEVELS_SQL = "WITH r AS (SELECT p_partkey AS id, p_partkey % 5 - 2 AS a, p_partkey % 3 AS b FROM part) SELECT id, CAST(2 AS BIGINT) AS ranges, CAST(2 AS BIGINT) AS span, CASE WHEN a = 1 OR b <= 1 THEN 1 ELSE 0 END AS on_level_1 FROM r"
 
 
-@F.pandas_udf("binary")
 def deflate(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else gzip.compress(t.encode(), 6, mtime=0))
 
 
-@F.pandas_udf("string")
 def inflate(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else gzip.decompress(d).decode())
 
 
 def gzip_and_base64(spark: SparkSession, sf_dir: str) -> DataFrame:  # STR3, STR13, SRC8
-    rows = derive.run(spark, sf_dir, "SELECT event_id, props FROM events").withColumn("packed", deflate("props"))
-    return rows.select("event_id", F.sha2(F.encode(inflate("packed"), "UTF-8"), 256).alias("sha"), C.one_line(F.base64(F.encode("props", "UTF-8"))).alias("text"), F.decode(F.unbase64(F.base64(F.encode("props", "UTF-8"))), "UTF-8").eqNullSafe(F.col("props")).cast("int").alias("same"))
+    pack, unpack = F.pandas_udf(deflate, "binary"), F.pandas_udf(inflate, "string")
+    rows = derive.run(spark, sf_dir, "SELECT event_id, props FROM events").withColumn("packed", pack("props"))
+    return rows.select("event_id", F.sha2(F.encode(unpack("packed"), "UTF-8"), 256).alias("sha"), C.one_line(F.base64(F.encode("props", "UTF-8"))).alias("text"), F.decode(F.unbase64(F.base64(F.encode("props", "UTF-8"))), "UTF-8").eqNullSafe(F.col("props")).cast("int").alias("same"))
 
 
 GZIP_SQL = "SELECT event_id, sha256(props) AS sha, base64(encode(props)) AS text, 1 AS same FROM events"
