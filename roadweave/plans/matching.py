@@ -175,7 +175,7 @@ def grades(heights, interval: float, weigh=None):
 GROUND = f"WITH {HOPS} SELECT l_orderkey, l_linenumber, CASE WHEN p % 17 = 0 THEN {NO_DATA}.0E0 ELSE CAST(p * 37 % 31 AS DOUBLE) END AS h FROM lines"
 
 
-def weighted_grade(spark: SparkSession, sf_dir: str) -> DataFrame:  # AGG5, EXT6, ELV3
+def weighted_grade(spark: SparkSession, sf_dir: str) -> DataFrame:  # AGG5, EXT6
     rows = derive.run(spark, sf_dir, GROUND)
     h = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "h"))), lambda s: s["h"])
     found = rows.groupBy("l_orderkey").agg(h.alias("h")).where(F.size("h") >= 2).select("l_orderkey", grades(F.col("h"), 60.0).alias("g"))
