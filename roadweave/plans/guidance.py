@@ -127,7 +127,7 @@ LOOSE = "SELECT u, v, cost_ms AS w FROM edges"
 LEGS = f"SELECT src, lead(src) OVER (ORDER BY src) AS node FROM ({DEPOTS}) d"
 
 
-def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF22, SET1
+def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF22
     """Cost of each leg between depots: of the strict pass where that finds a way, else of one over all streets, for the legs left."""
     legs = cut(derive.run(spark, sf_dir, f"WITH {NODES} SELECT * FROM ({LEGS}) l WHERE node IS NOT NULL"), "legs")
     at = lambda df: df.select("src", F.col("src").alias("node"))
@@ -164,7 +164,7 @@ ORDER_SQL = f"WITH {NODES}, t AS (SELECT gid, {TILE} AS tile, node_type FROM nod
 COUNTRY = ((3, 0, 1), (3, 5, 7), (7, 0, 1), (7, 6, 6), (12, 1, 9), (18, 7, 2))
 
 
-def country_access(spark: SparkSession, sf_dir: str) -> DataFrame:  # ETL21, JON18
+def country_access(spark: SparkSession, sf_dir: str) -> DataFrame:  # ETL21
     """Edges with the access that the country of their first node gives their road class; access tags of the way itself stand."""
     edges = derive.run(spark, sf_dir, f"WITH {EDGES} SELECT eid, {idiv('u', 40)} % 25 AS country, road_class, access, surface = 3 AS tagged FROM edges")
     rules = spark.createDataFrame(COUNTRY, "country long, road_class long, given int")
