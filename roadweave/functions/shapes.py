@@ -287,28 +287,33 @@ def simplified(xy, tolerance: float):
 
 
 def bounding_circle(xy) -> tuple[float, float, float]:
-    """Centre and radius of the least circle around an (n, 2) array: move a circle out to each point that it leaves outside."""
+    """Centre and radius of the least circle around an (n, 2) array: move a circle out to each point that it leaves outside.
+
+    Circles are computed from differences to one of their points, so coordinates far from 0 cost no digits of the radius.
+    """
     import numpy as np
 
     def through(p, q, r=None):
         if r is None:
             c = (p + q) / 2
             return c, float(np.hypot(*(p - c)))
-        m = 2 * np.array([q - p, r - p])
-        if abs(np.linalg.det(m)) < 1e-18:
+        (bx, by), (ex, ey) = q - p, r - p
+        det = bx * ey - by * ex
+        if abs(det) <= 1e-15:
             return max((through(a, b) for a, b in ((p, q), (p, r), (q, r))), key=lambda f: f[1])
-        c = np.linalg.solve(m, np.array([q @ q - p @ p, r @ r - p @ p]))
+        b, e = bx * bx + by * by, ex * ex + ey * ey
+        c = p + np.array([ey * b - by * e, bx * e - ex * b]) / (2 * det)
         return c, float(np.hypot(*(p - c)))
 
-    outside = lambda p, f: np.hypot(*(p - f[0])) > f[1] * (1 + 1e-12) + 1e-15
+    outside = lambda p, f: np.hypot(*(p - f[0])) > f[1] + 1e-12
     found = (xy[0], 0.0)
     for i in range(1, len(xy)):
         if outside(xy[i], found):
             found = (xy[i], 0.0)
             for j in range(i):
                 if outside(xy[j], found):
-                    found = through(xy[i], xy[j])
+                    found = through(xy[j], xy[i])
                     for k in range(j):
                         if outside(xy[k], found):
-                            found = through(xy[i], xy[j], xy[k])
+                            found = through(xy[k], xy[j], xy[i])
     return float(found[0][0]), float(found[0][1]), found[1]

@@ -148,3 +148,12 @@ def test_requests(spark):
     lines = ['-j \'{"locations":[{"lat":52.1,"lon":5.2,"type":"break"}],"costing":"auto","contours":[{"time":10}]}\'', '{"encoded_polyline":"_p~iF~ps|U"}', "not json"]
     rows = files.requests(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
     assert [r.valid for r in rows] == [True, True, False] and rows[0].locations[0].lat == 52.1 and rows[0].contours[0].time == 10 and len(rows[1].shape) == 1
+
+
+def test_bounding_circle_keeps_its_digits():
+    """Shape 564000001 of sf0.1; in exact fractions its circle through points 2, 9 and 12 has a radius of 0.02386388500016491."""
+    x = [17129, 30267, 47003, 15000, 18186, 36279, 26156, 9246, 24216, 1126, 20006, 31162, 7231, 45063, 1177, 28021]
+    y = [33140, 14256, 26292, 5344, 11328, 11160, 4052, 9008, 4116, 15024, 36252, 4164, 1288, 5160, 15016, 33196]
+    for at in ((5.0, 52.0), (-179.0, -80.0), (0.0, 0.0)):
+        radius = shapes.bounding_circle(np.array([(at[0] + a / 1e6, at[1] + b / 1e6) for a, b in zip(x, y, strict=True)]))[2]
+        assert abs(radius - 0.02386388500016491) < 1e-13
