@@ -61,11 +61,13 @@ def along(a: Column, b: Column, share: Column) -> Column:
 
     def between(u: Column) -> Column:
         p, q, w = u["p"], u["q"], u["w"]
-        f, g = F.sin(w * (1 - share)) / F.sin(w), F.sin(w * share) / F.sin(w)
-        x, y, z = (f * p[k] + g * q[k] for k in "xyz")
+        beside = lambda k: (q[k] - p[k] * F.cos(w)) / F.sin(w)
+        x, y, z = (F.when(w > 0, p[k] * F.cos(w * share) + beside(k) * F.sin(w * share)).otherwise(p[k]) for k in "xyz")
         return point(F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
 
-    angle = lambda u: F.struct(u["p"].alias("p"), u["q"].alias("q"), F.acos(F.least(F.lit(1.0), sum((u["p"][k] * u["q"][k] for k in "yz"), u["p"]["x"] * u["q"]["x"]))).alias("w"))
+    # by the chord: the arc cosine of the dot product is 0 for points that are a foot apart, and sin(0) then divides
+    chord = lambda u: F.sqrt(F.pow(u["p"]["x"] - u["q"]["x"], F.lit(2)) + F.pow(u["p"]["y"] - u["q"]["y"], F.lit(2)) + F.pow(u["p"]["z"] - u["q"]["z"], F.lit(2)))
+    angle = lambda u: F.struct(u["p"].alias("p"), u["q"].alias("q"), (2 * F.asin(F.least(F.lit(1.0), chord(u) / 2))).alias("w"))
     met = let(let(F.struct(unit(a).alias("p"), unit(b).alias("q")), angle), between)
     return F.when((share <= 0) | ((a["x"] == b["x"]) & (a["y"] == b["y"])), a).when(share >= 1, b).otherwise(met)
 

@@ -157,3 +157,15 @@ def test_bounding_circle_keeps_its_digits():
     for at in ((5.0, 52.0), (-179.0, -80.0), (0.0, 0.0)):
         radius = shapes.bounding_circle(np.array([(at[0] + a / 1e6, at[1] + b / 1e6) for a, b in zip(x, y, strict=True)]))[2]
         assert abs(radius - 0.02386388500016491) < 1e-13
+
+
+@pytest.mark.parametrize("step", [3e-6, 1e-6, 1e-8, 1e-12])
+def test_place_between_points_that_almost_meet(spark, step):
+    a, b = (5.0161, 52.0072), (5.0161 + step, 52.0072)
+    found = one(spark, shapes.along(shapes.point(*a), shapes.point(*b), F.lit(0.3)))
+    assert abs(found.x - (a[0] + 0.3 * (b[0] - a[0]))) < 2e-14 and abs(found.y - a[1]) < 2e-14
+
+
+def test_place_between_far_points(spark):
+    found = one(spark, shapes.along(shapes.point(0.0, 0.0), shapes.point(179.0, 0.0), F.lit(0.5)))
+    assert abs(found.x - 89.5) < 1e-9 and abs(found.y) < 1e-9
