@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.geo import METRES_PER_DEGREE, bearing, fixed, haversine, planar, tile_id, turn_degree, turn_type
-from roadweave.operators.search import converge, cut
+from roadweave.operators.search import converge, cut, widening
 from roadweave.plans import derive
 from roadweave.plans.derive import DEPARTURES, EDGES, HOPS, NODES, TRACES, idiv
 
@@ -150,10 +150,10 @@ LATTICE = "SELECT u, v, cost_ms AS w FROM edges"
 DEPOTS = f"SELECT DISTINCT n.gid AS src, n.gid AS node FROM nation z JOIN nodes n ON n.gid = {idiv('z.n_nationkey', 5)} * 400 + (z.n_nationkey % 5) * 10"
 
 
-def whole_labels(spark: SparkSession, sf_dir: str, reverse: bool = False) -> DataFrame:
+def whole_labels(spark: SparkSession, sf_dir: str, reverse: bool = False, limit: int | None = None) -> DataFrame:
     edges = derive.run(spark, sf_dir, f"WITH {EDGES} {LATTICE}")
     seeds = derive.run(spark, sf_dir, f"WITH {NODES} {DEPOTS}")
-    return converge(seeds, edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w") if reverse else edges)
+    return converge(seeds, edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w") if reverse else edges, limit=limit)
 
 
 def sssp(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF1, GRF2, GRF16, EXT3
@@ -182,9 +182,20 @@ def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:  # AGG7, GRF17
 
 
 def bidirectional_meet(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF3, JON15
-    forward, back = whole_labels(spark, sf_dir), whole_labels(spark, sf_dir, reverse=True)
-    both = forward.select("src", "node", "cost").join(back.select(F.col("src").alias("dst"), "node", F.col("cost").alias("rest")), "node").where("src <> dst")
-    return both.groupBy("src", "dst").agg(F.min(F.col("cost") + F.col("rest")).alias("cost"))
+    """Both searches up to a limit hold every way that is no longer than twice the limit less an edge, as on it a node then is
+    within the limit from both ends; the limit grows until that is so of all pairs."""
+    origins = derive.run(spark, sf_dir, f"WITH {NODES} {DEPOTS}").count()
+    longest = derive.run(spark, sf_dir, f"WITH {EDGES} SELECT max(cost_ms) AS w FROM edges").first()["w"] or 0
+
+    def search(limit: int | None) -> DataFrame:
+        forward, back = whole_labels(spark, sf_dir, limit=limit), whole_labels(spark, sf_dir, reverse=True, limit=limit)
+        both = forward.select("src", "node", "cost").join(back.select(F.col("src").alias("dst"), "node", F.col("cost").alias("rest")), "node").where("src <> dst")
+        return cut(both.groupBy("src", "dst").agg(F.min(F.col("cost") + F.col("rest")).alias("cost")), "met")
+
+    def whole(met: DataFrame, limit: int) -> bool:
+        return met.where(F.col("cost") <= 2 * limit - longest).count() == origins * (origins - 1)
+
+    return widening(search, whole)
 
 
 def centroid_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF14, SET6
