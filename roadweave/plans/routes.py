@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import codecs
 from roadweave.operators import paths
-from roadweave.operators.search import converge, cut
+from roadweave.operators.search import converge, cut, widening
 from roadweave.plans import derive
 from roadweave.plans.catalog import DEPOTS
 from roadweave.plans.derive import DEPARTURES, EDGES, NODES, idiv
@@ -25,17 +25,26 @@ LEGS = f"SELECT src, lead(src) OVER (ORDER BY src) AS nxt FROM ({DEPOTS}) d"
 GOALS = f"SELECT -1 - l.src AS src, e.eid AS dst FROM ({LEGS}) l JOIN edges e ON e.v = l.nxt"
 
 
-def edge_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    arcs = cut(derive.run(spark, sf_dir, f"WITH {EDGES}, {TURNS} {ARCS}"), "arcs")
-    seeds = derive.run(spark, sf_dir, f"WITH {NODES} {ORIGINS}")
-    return cut(converge(seeds, arcs, tile=4000), "labels"), arcs
+def edge_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.run(spark, sf_dir, f"WITH {EDGES}, {TURNS} {ARCS}")
+
+
+def edge_labels(spark: SparkSession, sf_dir: str, arcs: DataFrame, limit: int | None) -> DataFrame:
+    return cut(converge(derive.run(spark, sf_dir, f"WITH {NODES} {ORIGINS}"), arcs, limit=limit), "labels")
 
 
 def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(edges of the best path of each leg, its goal)."""
-    labels, arcs = edge_labels(spark, sf_dir)
-    goals = derive.run(spark, sf_dir, f"WITH {EDGES} {GOALS}").join(labels.withColumnRenamed("node", "dst"), ["src", "dst"])
-    best = goals.groupBy("src").agg(F.min_by("dst", F.struct("cost", "dist", "dst")).alias("dst"))
+    """(edges of the best path of each leg, its goal); the search widens until each leg has a goal within the limit or has no limit."""
+    arcs = cut(edge_arcs(spark, sf_dir), "arcs")
+    goals = cut(derive.run(spark, sf_dir, f"WITH {EDGES} {GOALS}"), "goals")
+    asked = goals.select("src").distinct().count()
+    reached = lambda labels: goals.join(labels.withColumnRenamed("node", "dst"), ["src", "dst"])
+    labels = widening(lambda limit: edge_labels(spark, sf_dir, arcs, limit), lambda found, _: reached(found).select("src").distinct().count() == asked)
+    best = reached(labels).groupBy("src").agg(F.min_by(F.struct("dst", "cost"), F.struct("cost", "dist", "dst")).alias("best"))
+    best = cut(best.select("src", "best.*"), "best")
+    # a path has no label above its goal's
+    labels = cut(labels.join(best.select("src", F.col("cost").alias("most")), "src").where("cost <= most").drop("most"), "labels")
+    best = best.select("src", "dst")
     return paths.paths(labels, arcs, best), best
 
 
@@ -86,7 +95,7 @@ LIMIT_MS, CELL = 400_000, 5
 
 def isochrone_cells(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF11, AGG2, JON14
     """Least time and way to any edge's end in each cell of 5 x 5 nodes, from every depot, within a limit of time."""
-    labels, _ = edge_labels(spark, sf_dir)
+    labels = edge_labels(spark, sf_dir, edge_arcs(spark, sf_dir), LIMIT_MS)
     edges = derive.run(spark, sf_dir, f"WITH {EDGES} SELECT eid AS node, v FROM edges")
     found = labels.where((F.col("node") >= 0) & (F.col("cost") <= LIMIT_MS)).join(edges, "node")
     cell = found.groupBy((-1 - F.col("src")).alias("origin"), F.floor(F.col("v") / (50 * CELL)).alias("row"), F.floor(F.col("v") % 50 / CELL).alias("col"))
@@ -98,7 +107,7 @@ CELLS_SQL = f"{_SEARCH} SELECT -1 - lab.src AS origin, {idiv('e.v', 50 * CELL)}
 
 def expansion_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:  # SNK13, GRF16, EXT4
     """Every edge that a search within the limit settled, as a GeoJSON feature."""
-    labels, _ = edge_labels(spark, sf_dir)
+    labels = edge_labels(spark, sf_dir, edge_arcs(spark, sf_dir), LIMIT_MS)
     edges = derive.run(spark, sf_dir, f"WITH {EDGES} SELECT eid AS node, u, v FROM edges")
     found = labels.where((F.col("node") >= 0) & (F.col("cost") <= LIMIT_MS)).join(edges, "node")
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("node").alias("edge_id"), F.col("cost").alias("duration"), (F.col("dist") * 100).alias("distance"), F.lit("s").alias("edge_status")).alias("properties"))
@@ -114,7 +123,7 @@ BIKE_SEEDS = f"SELECT src * 2 AS src, node * 2 AS node FROM ({DEPOTS}) d"
 
 def bike_share(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF9, GRF19, ETL16
     arcs = derive.run(spark, sf_dir, f"WITH {EDGES} {BIKE_ARCS}")
-    found = converge(derive.run(spark, sf_dir, f"WITH {NODES} {BIKE_SEEDS}"), arcs, tile=5000).where("node % 2 = 0")
+    found = converge(derive.run(spark, sf_dir, f"WITH {NODES} {BIKE_SEEDS}"), arcs).where("node % 2 = 0")
     return found.select((F.col("src") / 2).cast("long").alias("src"), (F.col("node") / 2).cast("long").alias("node"), "cost")
 
 
@@ -171,7 +180,9 @@ def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:  # GRF12, SRT7
     nodes = derive.run(spark, sf_dir, f"WITH {NODES} SELECT gid, r, c FROM nodes")
     edges = derive.run(spark, sf_dir, f"WITH {EDGES} SELECT u, v, cost_ms AS w FROM edges")
     seeds = derive.run(spark, sf_dir, f"WITH {NODES} {DEPOTS}")
-    times = cut(converge(seeds, edges).select("src", F.col("node").alias("gid"), "cost").join(nodes, "gid").select("src", "r", "c", F.col("cost").cast("double").alias("t")), "times")
+    # a block whose corners all are at LEVEL or beyond has no line; in one that has, no corner is more than two edges from an earlier one
+    limit = LEVEL + 2 * (edges.agg(F.max("w")).first()[0] or 0)
+    times = cut(converge(seeds, edges, limit=limit).select("src", F.col("node").alias("gid"), "cost").join(nodes, "gid").select("src", "r", "c", F.col("cost").cast("double").alias("t")), "times")
     corner = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 0), (0, 1), (1, 1), (1, 0)))))
     blocks = times.withColumn("k", corner).groupBy("src", (F.col("r") - F.col("k.dr")).alias("r"), (F.col("c") - F.col("k.dc")).alias("c"))
     blocks = blocks.agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("k.dr") == 0, F.col("k.dc")).otherwise(3 - F.col("k.dc")).alias("o"), "t", F.col("k.dc").cast("double").alias("x"), F.col("k.dr").cast("double").alias("y")))).alias("q")).where(F.size("q") == 4)
