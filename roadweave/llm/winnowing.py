@@ -12,6 +12,8 @@ of them, one of fewer than w hashes the least of them. Two empty fingerprints ar
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ LOW = (1 << 24) - 1
 LONG, GRAM = 32, 8
 #: Unicode White_Space, as the inside of a character class.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Holds all of it beyond ASCII. A text without any of these is cut at the ASCII part, whose single characters the engine looks up in a table.
+BEYOND, ASCII_SPACE = r"\x85\xA0\u1680-\u3000", r"\t\n\x0B\f\r "
 
 
 def let(value: Column, then) -> Column:
@@ -30,29 +34,37 @@ def let(value: Column, then) -> Column:
 
 def units(text: Column) -> Column:
     """The hashes of the units, in order."""
-    runs = F.split(text, f"[{SPACE}]", -1)
+    runs = F.when(F.rlike(text, F.lit(f"[{BEYOND}]")), F.split(text, f"[{SPACE}]", -1)).otherwise(F.split(text, f"[{ASCII_SPACE}]", -1))
 
     def grams(run: Column) -> Column:
         return let(F.split(run, "", -1), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.xxhash64(*(F.get(c, i + j) for j in range(GRAM)))))
 
-    long = F.flatten(F.transform(runs, lambda run: F.when(F.length(run) > LONG, grams(run)).otherwise(F.array(F.xxhash64(run)))))
-    return F.when(F.rlike(text, F.lit(f"[^{SPACE}]{{{LONG + 1}}}")), long).otherwise(F.transform(runs, lambda run: F.xxhash64(run)))
+    def hashed(runs: Column) -> Column:
+        long = F.flatten(F.transform(runs, lambda run: F.when(F.length(run) > LONG, grams(run)).otherwise(F.array(F.xxhash64(run)))))
+        return F.when(F.exists(runs, lambda run: F.length(run) > LONG), long).otherwise(F.transform(runs, lambda run: F.xxhash64(run)))
+
+    return let(runs, hashed)
 
 
 def winnow(text: Column, k: int = 4, w: int = 8) -> Column:
     """The selected hashes of a text with their positions, in order of position: array<bigint>."""
 
     def grams(h: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))),
-            lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))).bitwiseAND(F.lit(~LOW)).bitwiseOR(F.lit(LOW) - i.bitwiseAND(F.lit(LOW))),
-        )
+        whole = F.slice(h, 1, F.greatest(F.size(h) - k + 1, F.lit(1)))
+        return F.transform(whole, lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))).bitwiseAND(F.lit(~LOW)).bitwiseOR(F.lit(LOW) - i.bitwiseAND(F.lit(LOW))))
 
     def least(g: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(g) - w, F.lit(0))), lambda i: F.least(*(F.get(g, i + j) for j in range(w))))
+        """Of each window, from those of windows half as wide; what a window lacks beyond the end is null, which ``least`` skips."""
+        m, span = g, 1
+        while span < w:
+            step = min(span, w - span)
+            m, span = let(m, partial(lambda step, a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + step))), step)), span + step
+        return F.slice(m, 1, F.greatest(F.size(g) - w + 1, F.lit(1)))
 
     def changes(m: Column) -> Column:
-        return F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
+        """A hash with its position is selected by neighbouring windows only, unless positions repeat."""
+        apart = F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
+        return F.when(F.size(m) > LOW - w, apart).otherwise(F.array_distinct(m))
 
     found = let(units(text), lambda h: let(grams(h), lambda g: let(least(g), changes)))
     return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(found)

@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadweave.llm import mixing, quality, toxicity, winnowing
@@ -69,6 +71,34 @@ def test_fingerprints_are_those_of_plain_python(spark):
         assert got[i].near_edited == pytest.approx(plain_likeness(own, edited)) and got[i].near_next == pytest.approx(plain_likeness(own, other))
 
 
+def test_units_take_a_few_times_as_long_as_cutting_the_text(spark):
+    """Runs of 32 code points, none of them long: looking for a long run must not begin anew at each code point."""
+    run = "abcdefgh" * 4
+    rows = spark.range(40, numPartitions=2).select(F.repeat(F.concat(F.lit(run[:-3]), F.col("id") + 100, F.lit(" ")), 3000).alias("text")).cache()
+    assert rows.count() == 40
+
+    def seconds(column) -> float:
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            rows.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    cut, found = seconds(F.split("text", f"[{winnowing.SPACE}]", -1)), seconds(winnowing.units(F.col("text")))
+    rows.unpersist()
+    assert found < 4 * cut
+
+
+def test_windows_of_any_width_and_texts_with_more_kinds_of_white_space(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["a", "bc", "d", "é", "日本", "z" * 33]) + rng.choice(" \t\n\x0b\f\r\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\x1c") for _ in range(n)) for n in (1, 3, 9, 40, 200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, w in ((1, 1), (2, 3), (4, 8), (3, 13)):
+        found = {r.doc_id: r.selected for r in winnowing.fingerprints(rows, k, w).collect()}
+        assert all(found[i] == plain_winnow(t, k, w) for i, t in enumerate(texts))
+
+
 def corpus() -> tuple[list, list]:
     """Documents of three sources, with junk, vile texts, copies, near copies, nulls and repeated ids, and their labels."""
     rng = random.Random(6)
