@@ -19,7 +19,8 @@ import numpy as np
 from roadweave.llm.common import threads_off
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(f"[{LETTERS}0-9!-/:-@\\[-`{{-~\n]*")
+ALPHABET = f"{LETTERS}0-9!-/:-@\\[-`{{-~\n"
+PLAIN, OTHER = re.compile(f"[{ALPHABET}]*"), re.compile(f"[^{ALPHABET}\x00]")
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACED = re.compile(f"{SHORT}| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 WORDS = re.compile(f"{SHORT}|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+|\\x20")
@@ -40,6 +41,17 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def plain_ones(keys: list[str]) -> np.ndarray:
+    """Which keys are over the plain alphabet alone; all are looked through at once."""
+    joined = "\x00".join(keys)
+    if joined.count("\x00") >= len(keys):
+        return np.fromiter((PLAIN.fullmatch(k) is not None for k in keys), bool, len(keys))
+    ends = (np.fromiter(map(len, keys), np.int64, len(keys)) + 1).cumsum()
+    out = np.ones(len(keys), bool)
+    out[np.searchsorted(ends, np.fromiter((m.start() for m in OTHER.finditer(joined)), np.int64), "right")] = False
+    return out
+
+
 class Encoder:
     """``encode(texts)`` gives all ids in one array and the number of ids of each text.
 
@@ -72,8 +84,9 @@ class Encoder:
         self.hits = self.hits[keep] // 2
 
     def learn(self, missing: list[str]) -> None:
-        plain = [k for k in missing if PLAIN.fullmatch(k)]
-        rest = [k for k in missing if not PLAIN.fullmatch(k)] if len(plain) < len(missing) else []
+        is_plain = plain_ones(missing).tolist()
+        plain = [*itertools.compress(missing, is_plain)]
+        rest = [k for k, ok in zip(missing, is_plain, strict=True) if not ok] if len(plain) < len(missing) else []
         ids: list[int] = []
         sizes = []
         if plain:
@@ -81,6 +94,7 @@ class Encoder:
             if len(self.pieces) > self.most:
                 self.pieces = {}
             known, model, letters = self.pieces, self.model, self.letters
+            space, line = letters[32], letters[10]
             size = -1
             for piece in cut:
                 if piece[0] == " ":
@@ -90,7 +104,8 @@ class Encoder:
                     if piece == " " and not self.spaced:
                         continue
                 if (found := known.get(piece)) is None:
-                    found = known[piece] = tuple([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
+                    shown = piece.replace(" ", space).replace("\n", line) if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+                    found = known[piece] = tuple([t.id for t in model.tokenize(shown)])
                 ids += found
                 size += len(found)
             sizes.append(size)

@@ -65,6 +65,29 @@ def test_reader_opens_only_the_frames_asked_for(spark, docs, tmp_path):
     assert reader.opened == 1
 
 
+def test_chunks_are_tested_for_plain_letters_all_at_once(monkeypatch):
+    import re
+    from types import SimpleNamespace
+
+    from tokenizers import Tokenizer
+
+    from roadweave.llm import tokens
+
+    calls, whole = [], re.compile(f"[{tokens.LETTERS}0-9!-/:-@\\[-`{{-~\n]*")
+    monkeypatch.setattr(tokens, "PLAIN", SimpleNamespace(fullmatch=lambda k: (calls.append(k), whole.fullmatch(k))[1]))
+    text = "Plain words, été's\nline 12 日本 ab\x07c  x\n \n\tz é́ — end" + "".join(f" w{i}'ll ñ{i}?" for i in range(500))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        with open(vocabulary(name), encoding="utf-8") as f:
+            source = f.read()
+        plain = Tokenizer.from_str(source)
+        for t in (text, text + "\x00 a\x00b \x00"):
+            ids, counts = tokens.Encoder(source).encode([t, None, " ", "\n"])
+            want = [plain.encode(x or "", add_special_tokens=False).ids for x in (t, None, " ", "\n")]
+            assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+            assert bool(calls) == ("\x00" in t)
+            calls.clear()
+
+
 def test_packing_is_whole(spark, docs):
     pieces = packing.cut_documents(docs, vocabulary("word_bpe_49k.json"), 1, 128)
     rows = packing.pack(pieces, 128, shard=20).collect()
