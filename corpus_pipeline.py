@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadweave.llm import mixing, packing, quality, similarity_join, toxicity
 from roadweave.llm.catalog import vocabulary
-from roadweave.llm.common import stage, table
+from roadweave.llm.common import discard, stage, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows go by a key written once, so rows with a null or a repeated id are documents of their own; a null id comes last.
     """
     keyed = stage(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    found = similarity_join.near_duplicates(keyed, n_words=5, percent=80, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    joined = similarity_join.near_duplicates(keyed, n_words=5, percent=80, id_col="row_key")
+    found = joined.select(F.col("doc_id").alias("row_key"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
     kept = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first"))
     kept = stage(kept.select(F.col("first.row_key").alias("row_key")), "kept")
+    discard(*joined.reads)
     return keyed.join(kept, "row_key", "left_semi").select(docs.columns)
 
 

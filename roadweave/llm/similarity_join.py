@@ -410,7 +410,7 @@ def release(spark: SparkSession) -> None:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+    """(doc_id, n_shingles, component_id) for every row; ``reads`` are the written frames that it reads."""
     spark = docs.sparkSession
     rows = rows_of(docs, id_col, text_col)
     seen = measured(rows, n_words)
@@ -435,4 +435,6 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, turns:
     named = stage(named.join(least, "root").select(*CLASS, "component_id"), "named")
     discard(members, classes)
     linked = seen.join(named, CLASS, "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found.reads = (seen, named)
+    return found

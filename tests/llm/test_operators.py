@@ -360,3 +360,17 @@ def test_pipeline_keeps_one_of_each_group(spark, unrelated):
     assert len(first) == 1
     want = [(None, first[0]), (None, text(2, 60)), (None, None), (None, ""), (7, text(3, 60)), (7, text(4, 60)), (8, near(5)), (11, text(6, 60)), (12, None)]
     assert sorted(got, key=repr) == sorted(want + rows[12:], key=repr)
+
+
+def test_pipeline_join_leaves_only_what_its_result_reads(spark, docs, monkeypatch):
+    from pathlib import Path
+
+    from roadweave.llm import common
+
+    paths = []
+    fresh = common.fresh_path
+    monkeypatch.setattr(common, "fresh_path", lambda s, name: (paths.append((name, fresh(s, name))), paths[-1][1])[1])
+    found = corpus_pipeline.one_of_each_group(spark, docs, "")
+    left = {name for name, path in paths if Path("/" + path.removeprefix("file:").lstrip("/")).exists()}
+    assert {"measured", "named"} < {name for name, _ in paths} and not left & {"measured", "named"}
+    assert found.count() > 0
