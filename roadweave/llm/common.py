@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +99,59 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What empties the caches that outlive a task in a Python worker.
+CACHES: list[Callable[[], None]] = []
+PART = 4 << 20
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+
+
+def give_back() -> None:
+    """Memory that Arrow's pool and the C library keep for later goes back to the system: an idle worker counts as its executor's."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def let_go() -> None:
+    """Empties the caches that tasks of another operator left in this worker, which Spark uses again."""
+    for clear in CACHES:
+        clear()
+    give_back()
+
+
+def parts(batch: pa.RecordBatch, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes, one row at least; an empty batch is passed on."""
+    rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+    for at in range(0, max(1, batch.num_rows), rows):
+        yield batch.slice(at, rows)
+
+
+def lean(run: Callable, cached: bool = False) -> Callable:
+    """``run`` for mapInArrow, which must not depend on where batches end: it gets parts of them, and gives memory back after each batch.
+
+    Caches of earlier tasks go first, unless the function has its own among them (``cached``).
+    """
+
+    def fed(batches):
+        for batch in batches:
+            yield from parts(batch)
+            give_back()
+
+    def task(batches):
+        if not cached:
+            let_go()
+        try:
+            yield from run(fed(batches))
+        finally:
+            give_back()
+
+    return task
+
+
 def threads_off() -> None:
     """The cluster runs a task per core, so libraries in a task start no threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

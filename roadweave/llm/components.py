@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import stage
+from roadweave.llm.common import lean, stage
 
 CHUNK = 200_000
 
@@ -54,7 +54,7 @@ def contracted(edges: DataFrame, chunk: int) -> DataFrame:
             u, v = forest(u, v)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return edges.mapInArrow(run, "u long, v long")
+    return edges.mapInArrow(lean(run), "u long, v long")
 
 
 def components(links: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import fold
+from roadweave.llm.common import fold, lean
 from roadweave.llm.learning import Adam, labelled_sample, share_of_ones, sigmoid
 
 PASSAGE, PAIRS, HIDDEN, GATE = 400, 64, 24, 12
@@ -111,7 +111,7 @@ def bags(sample: DataFrame, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.
                 out.append((doc, y, rows.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "y", "rows"])
 
-    found = sorted(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, rows binary").toLocalIterator(), key=lambda r: r["doc_id"])
+    found = sorted(sample.select("doc_id", "text", "y").mapInArrow(lean(run), "doc_id long, y int, rows binary").toLocalIterator(), key=lambda r: r["doc_id"])
     parts = [np.frombuffer(r["rows"], np.float32).reshape(-1, WIDTH) for r in found]
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.array([r["y"] for r in found], float)
 
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
             found = np.full(len(texts), m["share"]) if "share" in m else sigmoid(logits(texts, m))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    found = clean.mapInArrow(run, schema)
+    found = clean.mapInArrow(lean(run), schema)
     return found.withColumns({"held_out": F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
 
 

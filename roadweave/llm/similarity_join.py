@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import discard, partitions, stage
+from roadweave.llm.common import discard, lean, partitions, stage
 from roadweave.llm.components import components
 from roadweave.llm.shingles import PLACE, Words, mix, shingle_sets
 
@@ -133,7 +133,7 @@ def measured(docs: DataFrame, n_words: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True))], ["doc_id", "n", "h1", "h2", "parity"])
 
-    return stage(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, parity binary"), "measured")
+    return stage(docs.mapInArrow(lean(run), "doc_id long, n long, h1 long, h2 long, parity binary"), "measured")
 
 
 def key_groups(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -215,9 +215,9 @@ def key_groups(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
         if len(held_k):
             yield finish(held_k, held_r)
 
-    keys = docs.mapInArrow(emit, "key long, ref long")
+    keys = docs.mapInArrow(lean(emit), "key long, ref long")
     keys = keys.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    every = stage(keys.mapInArrow(group, "gid long, ref long"), "groups")
+    every = stage(keys.mapInArrow(lean(group), "gid long, ref long"), "groups")
     groups = stage(every.distinct(), "groups")
     discard(every)
     return groups
@@ -237,7 +237,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n_words: int,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.binary(),), strict=True)], ["n", "h1", "h2", "items"])
 
-    sets = rows.mapInArrow(run, "n long, h1 long, h2 long, items binary")
+    sets = rows.mapInArrow(lean(run), "n long, h1 long, h2 long, items binary")
     sets = sets.join(F.broadcast(wanted.select(*CLASS, "cid")) if wanted.count() <= few else wanted.select(*CLASS, "cid"), CLASS)
     sets = stage(sets.select("cid", "items").dropDuplicates(["cid"]), "sets")
     discard(wanted)
@@ -264,7 +264,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n_words: int
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    links = stage(rows.mapInArrow(run, "u long, v long"), "links")
+    links = stage(rows.mapInArrow(lean(run), "u long, v long"), "links")
     discard(pairs, sets)
     return links
 
@@ -360,7 +360,7 @@ def compared(rows: DataFrame, sketches: DataFrame, percent: int, star: bool) ->
             yield from emit(held, seen)
 
     rows = rows.join(sketches, "cid").select("gid", "i", "j", "side", "own", "cid", "n", "root", "parity", "first").repartition(partitions(rows.sparkSession), "gid", "i", "j").sortWithinPartitions("gid", "i", "j", "side", "own", "cid")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def open_members(members: DataFrame, roots: DataFrame, block: int) -> DataFrame:

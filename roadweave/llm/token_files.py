@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import AtomicFile, fresh_path, open_file, partitions
+from roadweave.llm.common import CACHES, AtomicFile, fresh_path, open_file, partitions
 from roadweave.llm.tokens import Encoder, by_text
 
 HEADER_MAGIC, INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
@@ -36,9 +36,12 @@ SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 
 
 @functools.lru_cache(2)
-def encoder(source: str) -> Encoder:
+def encoder(source: str, most: int = 400_000) -> Encoder:
     """One encoder for each Python worker, so its cache serves all tasks that the worker runs."""
-    return Encoder(source)
+    return Encoder(source, most)
+
+
+CACHES.append(encoder.cache_clear)
 
 
 def skippable(magic: int, body: bytes) -> bytes:

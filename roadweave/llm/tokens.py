@@ -69,6 +69,7 @@ class Encoder:
         self.spaced = json.loads(source)["pre_tokenizer"]["type"] == "ByteLevel"
         self.model, self.most, self.block = self.tokenizer.model, most, block
         self.letters = byte_letters()
+        self.numbers = [*range(self.tokenizer.get_vocab_size())]  # an id's number is one object, however many pieces hold it
         self.known: dict[str, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.ids, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -93,7 +94,7 @@ class Encoder:
             cut = SPACED.findall(" " + " ".join(plain)) if self.spaced else WORDS.findall(" " + " ".join(plain).lower())
             if len(self.pieces) > self.most:
                 self.pieces = {}
-            known, model, letters = self.pieces, self.model, self.letters
+            known, model, letters, numbers = self.pieces, self.model, self.letters, self.numbers
             space, line = letters[32], letters[10]
             size = -1
             for piece in cut:
@@ -105,7 +106,7 @@ class Encoder:
                         continue
                 if (found := known.get(piece)) is None:
                     shown = piece.replace(" ", space).replace("\n", line) if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
-                    found = known[piece] = tuple([t.id for t in model.tokenize(shown)])
+                    found = known[piece] = tuple([numbers[t.id] for t in model.tokenize(shown)])
                 ids += found
                 size += len(found)
             sizes.append(size)
@@ -171,7 +172,7 @@ class Encoder:
         return self.ids[ragged((self.sizes.cumsum() - self.sizes)[at], size)]
 
 
-def by_text(texts: Sequence[str | None], most: int = 2_000_000) -> Iterator[slice]:
+def by_text(texts: Sequence[str | None], most: int = 500_000) -> Iterator[slice]:
     """Slices of a batch of about ``most`` code points each, so what a step holds is bounded."""
     start = held = 0
     for i, text in enumerate(texts):

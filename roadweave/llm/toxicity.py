@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import fold
+from roadweave.llm.common import fold, lean
 from roadweave.llm.learning import Adam, labelled_sample, share_of_ones, sigmoid
 
 BITS, ORDERS = 22, (3, 4, 5)
@@ -117,7 +117,7 @@ def frequencies(sample: DataFrame) -> DataFrame:
             part = filled[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[0, part].astype(np.int64)), pa.array(count[1, part].astype(np.int64))], ["bucket", "zeros", "ones"])
 
-    parts = sample.select("text", "y").coalesce(8).mapInArrow(run, "bucket long, zeros long, ones long")
+    parts = sample.select("text", "y").coalesce(8).mapInArrow(lean(run), "bucket long, zeros long, ones long")
     return parts.groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
 
 
@@ -146,7 +146,7 @@ def fit(sample: DataFrame, keep: int = 2048, smoothing: float = 1.0, ridge: floa
             rows = [c.astype("<u2").tobytes() for c in np.split(col, np.searchsorted(owner, np.arange(1, len(texts))))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["doc_id", "y", "cols"])
 
-    rows = sample.select("doc_id", "text", "y").coalesce(8).mapInArrow(held, "doc_id long, y int, cols binary").collect()
+    rows = sample.select("doc_id", "text", "y").coalesce(8).mapInArrow(lean(held), "doc_id long, y int, cols binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
     y, cols = np.array([r["y"] for r in rows], float), [np.frombuffer(r["cols"], "<u2").astype(np.int32) for r in rows]
     owner, col = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols)
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
             column = pa.array(sigmoid(known[0].logits(batch.column(text).to_pylist())), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "score"])
 
-    found = clean.mapInArrow(run, schema)
+    found = clean.mapInArrow(lean(run), schema)
     return found.withColumns({"held_out": F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
 
 

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roadweave.llm import mixing, packing, quality, similarity_join, token_files, toxicity
 from roadweave.llm.catalog import vocabulary
+from roadweave.llm.common import PART, lean, parts
 
 WORDS = "river stone lamp idle green winter paper cloud seven tower Apple salt".split()
 
@@ -168,3 +170,29 @@ def test_large_groups_are_compared_in_any_blocks(spark, monkeypatch):
     for block in (3, 30):
         monkeypatch.setattr(similarity_join, "unsettled", partial(similarity_join.unsettled, block=block))
         assert sorted(map(tuple, similarity_join.near_duplicates(docs, turns=0).collect())) == want
+
+
+def test_batches_come_in_bounded_parts_whose_rows_are_the_same():
+    """A batch of 10,000 rows is 20 MB of texts and more; what an operator makes of it at once isn't to grow with it."""
+    rng = np.random.default_rng(3)
+    texts = ["x" * n for n in rng.integers(0, 9000, 3000).tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    cut = [*parts(batch)]
+    assert len(cut) > 2 and max(b.nbytes for b in cut) < 1.5 * PART
+    seen = []
+    given = [*lean(lambda batches: (seen.append(b.num_rows) or b for b in batches))(iter([batch, batch.slice(0, 0), batch.slice(5, 1)]))]
+    assert pa.Table.from_batches(given).equals(pa.Table.from_batches([batch, batch.slice(5, 1)]))
+    assert seen == [*(b.num_rows for b in cut), 0, 1]
+
+
+def test_a_worker_drops_the_encoder_when_another_operators_task_begins(spark, docs, monkeypatch):
+    """Spark uses Python workers again, so what one stage of the pipeline caches would be held through all later ones."""
+    ran = []
+    frame = type(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, plain=frame.mapInArrow, **b: ran.append(f) or plain(self, f, *a, **b))
+    packing.cut_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    quality.score(docs.select("doc_id", "text"), {"share": 0.5})
+    cut, score = ran
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["some words", None])], ["doc_id", "text"])
+    assert sum(b.num_rows for b in cut(iter([batch]))) == 2 and token_files.encoder.cache_info().currsize
+    assert sum(b.num_rows for b in score(iter([batch]))) == 2 and not token_files.encoder.cache_info().currsize
